@@ -1,8 +1,7 @@
 """Byte-level BPE encoding and decoding with exact merges in linear time.
 
 A rank file gives tokens as bytes. Bytes are mapped to Latin-1 characters so that pyahocorasick, which works on
-strings, finds every token that occurs in a piece in one pass; the longest at each start is kept. Encoding
-then walks left to right with the longest match first. A token may follow another only if the two are
+strings, finds the longest token at a position in time bounded by the longest token. Encoding walks left to right with the longest match first. A token may follow another only if the two are
 compatible, that is if BPE, given their joined bytes, would give back just these two; a token that isn't is
 replaced by its longest proper prefix token, and when none fits the walk backtracks by one token and marks
 the position as dead, so that no position is left twice. Compatibility is decided by undoing merges on both
@@ -27,7 +26,10 @@ from pyspark.sql import functions as F
 from .common import require, small_batches
 
 #: \s in tokenizer patterns is Unicode's White_Space.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A space beside white space or an end of the text; a space that isn't.
+DOUBLE, SINGLE = regex.compile(rf"^ | $| [{SPACE}]|[{SPACE}] "), regex.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
+SPACED = regex.compile(r"(?:'\w+\|)* \?\\p\{L\}\+\| \?\\p\{N\}\+\| \?\[\^\\s\\p\{L\}\\p\{N\}\]\+\|\\s\+\(\?!\\S\)\|\\s\+")
 PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT = 200_000, 1_000_000, 64
 
 
@@ -75,7 +77,9 @@ class ByteBPE:
         for i, t in enumerate(tokens):
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.latin_ids = {t.decode("latin-1"): i for i, t in enumerate(tokens)}
         self.lengths = [len(t) for t in tokens]
+        self.longest = max(self.lengths)
         self.prefix = [self._longest_prefix(t) for t in tokens]
         self.left, self.right = list(range(len(tokens))), list(range(len(tokens)))
         self.merged: dict[tuple[int, int], int] = {}
@@ -91,6 +95,9 @@ class ByteBPE:
                 a = self.prefix[a]
         self.fits.clear()
         self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        #: Whether the pattern is of the family in which a word takes one space before it and no piece has one elsewhere but in runs of white space.
+        self.spaced = pattern is not None and SPACED.fullmatch(pattern) is not None
 
     def _longest_prefix(self, token: bytes) -> int:
         for n in range(len(token) - 1, 0, -1):
@@ -132,33 +139,65 @@ class ByteBPE:
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        n, lengths = len(piece), self.lengths
-        longest = [-1] * n
-        for end, i in self.automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - lengths[i]] = i  # ends come in order: the last is the longest
+        n, lengths, prefix, fits = len(piece), self.lengths, self.prefix, self.fits
+        text, walk, ids, longest = piece.decode("latin-1"), self.automaton.longest_prefix, self.latin_ids, self.longest
         out: list[int] = []
         dead = bytearray(n + 1)
-        at, token = 0, longest[0] if n else -1
+        at, token = 0, -1
         while at < n:
-            while True:
-                end = at + lengths[token]
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
+            if token < 0:  # the longest token that starts here: on the trie's path, the last node that ends one
+                ahead = text[at : at + longest]
+                depth = walk(ahead)
+                while (token := ids.get(ahead[:depth], -1)) < 0:
+                    depth -= 1
+            end = at + lengths[token]
+            if not dead[end]:
+                if out:
+                    pair = (out[-1], token)
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = self.compatible(*pair)
+                else:
+                    fit = True
+                if fit:
                     out.append(token)
-                    at = end
-                    token = longest[at] if at < n else -1
-                    break
-                token = self.prefix[token]
-                if token < 0:
-                    dead[at] = 1
-                    token = out.pop()
-                    at -= lengths[token]
-                    break
+                    at, token = end, -1
+                    continue
+            token = prefix[token]
+            if token < 0:
+                dead[at] = 1
+                token = out.pop()
+                at -= lengths[token]
         return out
 
     def encode_packed(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers; null is empty."""
+        """The ids of a text as little-endian unsigned 32-bit integers; null is empty.
+
+        A space between two other characters that aren't white space always begins a piece, so texts are cut there
+        and what follows each such space is looked up whole.
+        """
+        if not text:
+            return b""
+        if self.spaced:
+            chunks = SINGLE.split(text) if DOUBLE.search(text) else text.split(" ")
+        else:
+            chunks = [text]
+        parts = [self._pieces(chunks[0])]
+        known = self.chunks.get
+        for chunk in chunks[1:]:
+            packed = known(chunk)
+            if packed is None:
+                packed = self._pieces(" " + chunk)
+                if len(chunk) <= LONGEST_KEPT:
+                    if len(self.chunks) >= PIECES_KEPT:
+                        self.chunks.clear()
+                    self.chunks[chunk] = packed
+            parts.append(packed)
+        return b"".join(parts)
+
+    def _pieces(self, text: str) -> bytes:
         cache, parts = self.cache, []
-        for piece in self.findall(text or ""):
+        for piece in self.findall(text):
             packed = cache.get(piece)
             if packed is None:
                 packed = array("I", self.encode_piece(piece.encode("utf-8"))).tobytes()
@@ -167,7 +206,7 @@ class ByteBPE:
                         cache.clear()
                     cache[piece] = packed
             parts.append(packed)
-        return b"".join(parts)
+        return parts[0] if len(parts) == 1 else b"".join(parts)
 
     def encode(self, text: str | None) -> list[int]:
         return array("I", self.encode_packed(text)).tolist()
