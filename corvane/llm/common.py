@@ -40,6 +40,8 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
+    # the step's shuffle files go once the driver's JVM finds their plan unreachable; that needn't wait for memory to run short
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, simhash, warc_zip
+from . import byte_bpe, decontaminate, exact_dedup, language_id, simhash, substring_dedup, toxicity, warc_zip
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
@@ -25,6 +29,10 @@ def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
@@ -33,7 +41,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op4_simhash, op5_warc_zip, op7_decontaminate, op8_exact_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_byte_bpe, op4_simhash, op5_warc_zip, op6_substring_dedup, op7_decontaminate, op8_exact_dedup, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op5_warc_zip": """
@@ -43,6 +55,16 @@ ORACLES: dict[str, str] = {
                CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN top <> page_id THEN top END AS refers_to
         FROM p LEFT JOIN g USING (b)""",
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        spots AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM spots),
+        least AS (SELECT s, min(doc_id) AS owner FROM win GROUP BY s),
+        hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN least USING (s) WHERE doc_id > owner),
+        tokens AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS s FROM tokens ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op7_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

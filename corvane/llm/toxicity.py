@@ -29,9 +29,11 @@ from .language_id import held_out
 
 WINDOW, STRIDE = 64, 48
 SAMPLE_ROWS, ROW_WINDOWS = 8_000, 6
-WORD_VECTORS, LEAST_WINDOWS, LONGEST_WORD = 4000, 12, 24
+WORD_VECTORS, LEAST_WINDOWS, LONGEST_WORD = 4000, 12, 11
 D_WORD, D_CHAR, H_CHAR, H_WORD, CHARS = 8, 8, 8, 8, 72
-BATCH, EPOCHS, MOST_STEPS, RATE, SEED = 64, 6, 500, 0.008, 7
+BATCH, EPOCHS, MOST_STEPS, RATE, SEED = 64, 6, 600, 0.01, 7
+#: Clean windows scored each time hard ones are looked for.
+MINED = 8000
 THRESHOLD = 0.3
 #: Rows of the table of word inputs kept in a worker.
 TABLE_ROWS = 300_000
@@ -40,7 +42,7 @@ _WORD = re.compile(r"\w+")
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased runs of word characters, in pieces of 24 characters at most."""
+    """Lower-cased runs of word characters, in pieces of 11 characters at most."""
     found = _WORD.findall((text or "").lower())
     if any(len(w) > LONGEST_WORD for w in found):
         found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
@@ -55,13 +57,12 @@ def window_starts(n: int) -> list[int]:
 def spell(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Character classes of words (a row a word) and their mask."""
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    longest = int(lengths.max(initial=1))
+    longest = int(lengths.max(initial=1))  # behind class 0, which marks the start of a word
     points = np.frombuffer("".join(tokens).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     inside = np.arange(longest) < lengths[:, None]
     out = np.zeros(inside.shape, np.int64)
     out[inside] = np.where((points >= 97) & (points <= 122), points - 96, np.where((points >= 48) & (points <= 57), points - 48 + 27, 37 + points % (CHARS - 37)))
-    mask = inside.astype(np.float32)
-    return out, mask
+    return np.pad(out, ((0, 0), (1, 0))), np.pad(inside.astype(np.float32), ((0, 0), (1, 0)), constant_values=1)
 
 
 def sigmoid(x):
@@ -346,11 +347,25 @@ def train(windows: list[list[str]], labels: np.ndarray, rows: np.ndarray) -> Mod
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     steps = min(MOST_STEPS, EPOCHS * -(-len(fitting) // BATCH))
     half = BATCH // 2
-    orders = []  # toxic windows are few: half of each batch are such
-    for some in (fitting[labels[fitting] > 0], fitting[labels[fitting] == 0]):
-        orders.append(np.concatenate([rng.permutation(some) for _ in range(-(-steps * half // len(some)))]))
+    toxic, clean = fitting[labels[fitting] > 0], fitting[labels[fitting] == 0]
+    pools = [toxic, clean]
+    orders = [rng.permutation(x) for x in pools]
     for step in range(steps):
-        batch = np.concatenate([o[step * half : (step + 1) * half] for o in orders])
+        if step in (steps * 2 // 10, steps * 5 // 10, steps * 8 // 10):
+            # set aside windows of toxic texts that look clean next to the most suspect one of their text, and favour clean windows that look toxic
+            own = Scorer(Model(p, vocabulary))
+            drawn = clean[rng.permutation(len(clean))[:MINED]]
+            logits, usual = (np.array(own.logits([" ".join(windows[i]) for i in some])) for some in (toxic, drawn))
+            top = pd.Series(logits).groupby(rows[toxic]).transform("max").to_numpy()
+            pools = [toxic[logits >= (top + np.median(usual)) / 2], np.concatenate([drawn[np.argsort(-usual, kind="stable")[: len(drawn) // 5]], drawn[: len(drawn) // 5]])]
+            orders = [rng.permutation(x) for x in pools]
+        batch = []
+        for k, pool in enumerate(pools):  # toxic windows are few: half of each batch are such
+            at = step * half % len(pool)
+            if at < half:
+                orders[k] = rng.permutation(pool)
+            batch.append(np.take(orders[k], range(at, at + half), mode="wrap"))
+        batch = np.concatenate(batch)
         longest = max(len(coded[i]) for i in batch)
         index, mask = np.zeros((len(batch), longest), np.int64), np.zeros((len(batch), longest), np.float32)
         for k, i in enumerate(batch):
