@@ -60,6 +60,12 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
         raise ValueError(f"columns missing from the input: {', '.join(missing)}")
 
 
+def only_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is in kept (one column), and those without an id: what can't be named isn't dropped."""
+    named = docs.join(kept.toDF(id_col).distinct(), id_col, "left_semi").select(*docs.columns)
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Components of a graph of (a, b) edges over longs: one (node, root) row per node of an edge, root the least node.
 

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, simhash, substring_dedup, toxicity, warc_zip
-from .common import table
+from . import byte_bpe, decontaminate, exact_dedup, language_id, license_scan, simhash, substring_dedup, token_counts, toxicity, warc_zip
+from .common import scratch, table
 
-BPE_FILE = "byte_bpe_50k.tiktoken"
+BPE_FILE, MULTI_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.best_license(table(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +45,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = (("byte_bpe_50k", public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN), ("byte_bpe_multi_50k", public_tokenizers.path(MULTI_FILE), public_tokenizers.PATTERN))
+    return token_counts.corpus_rollup(table(spark, sf_dir, "documents"), scratch(spark, "token-ledger"), first, second)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_byte_bpe, op4_simhash, op5_warc_zip, op6_substring_dedup, op7_decontaminate, op8_exact_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_byte_bpe, op4_simhash, op5_warc_zip, op6_substring_dedup, op7_decontaminate, op8_exact_dedup, op9_token_counts, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op5_warc_zip": """

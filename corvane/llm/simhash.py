@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialised, require
+from .common import connected_components, materialised, only_ids, require
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Bits of each block; a key keeps two of the three.
@@ -152,6 +152,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates of an earlier row: of each component the smallest doc_id stays, all its columns kept."""
-    found = near_duplicates(docs.select("doc_id", "text")).filter("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """docs without the near-duplicates of an earlier row: of each component the smallest doc_id stays, all its columns kept, and all rows without a doc_id."""
+    return only_ids(docs, near_duplicates(docs.select("doc_id", "text")).filter("id = component_id").select("id"))
