@@ -1,11 +1,50 @@
-"""Toxicity, exact dedup, SimHash near-dedup, benchmark decontamination and BPE encoding, one stage after another."""
+"""Toxicity, exact dedup, SimHash near-dedup, benchmark decontamination and BPE encoding, one stage after another.
 
-STAGES = []
+Each stage reads what its predecessor kept, whole, and returns the columns of documents; the last adds token counts and ids.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import byte_bpe, decontaminate, exact_dedup, simhash, toxicity
+from corvane.llm.common import materialised, table
+from corvane.llm.queries import BPE_FILE
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_duplicates(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_representatives(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with n_tokens, ids (little-endian u32) and decoded_sha256, the digest of what the ids decode to."""
+    out = byte_bpe.encode(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, keep=tuple(docs.columns), round_trip=True)
+    return out.select(*docs.columns, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", without_toxic), ("exact dedup", without_copies), ("SimHash near-dedup", without_near_copies), ("benchmark decontamination", without_benchmark), ("byte-level BPE", encoded)]
+
+#: Toxicity, SimHash and BPE aren't expressible in SQL; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read back before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialised(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
