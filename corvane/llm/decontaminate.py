@@ -1,15 +1,15 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame operations only.
 
-Postings (term, doc_id, pos) are stored for training tokens, in buckets of the term. A benchmark window of ten words
-is looked up from its rarest terms: its offset-adjusted lists (pos - offset: where the window would have
-to start) of the two rarest terms are intersected, and what survives is intersected with the lists of the
-remaining terms until every term of the window has confirmed the start. Which terms are rare is counted over all
-documents. Only terms that the benchmark holds are counted, and only each window's rarest get postings
-of all documents; the other terms get postings of the candidate documents alone.
+One pass over the texts stores a posting (term, document, position) for every training token whose term the benchmark holds,
+with terms numbered, and for each document one posting of a mark behind its last word, whose position is the number
+of words. All else reads these postings, never the texts. A benchmark window of ten words is looked up from its
+rarest terms: its offset-adjusted lists (pos - offset: where the window would have to start) of the two rarest terms are
+intersected, and what survives is intersected with the lists of the remaining terms until every term of the window has
+confirmed the start. Which terms are rare is counted over all documents.
 
 What the benchmark contributes (terms, windows) is broadcast while it is under ``BROADCAST_ROWS`` rows, which is
-checked; beyond that the same joins shuffle. Hot terms and passages shuffle by (term, doc_id) or
-(doc_id, start), never by the term alone, and hits are counted per document by distinct positions.
+checked; beyond that the same joins shuffle. Hot terms and passages shuffle by document and start, never by the term
+alone, and hits are counted per document by distinct positions.
 """
 
 from __future__ import annotations
@@ -20,15 +20,19 @@ from pyspark.sql.window import Window
 
 from .common import ascii_lower, materialised, require
 
-#: A word is a run of ASCII letters, digits and anything beyond ASCII.
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word is a run of ASCII letters, digits and anything beyond ASCII; no word is a single break.
+BREAK, MARK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "
 WINDOW, BROADCAST_ROWS = 10, 200_000
+#: Where a posting is: the document's id and a digest of its text, as ids may repeat.
+DOC = ("doc", "text_crc")
 
 
 def words(text: Column) -> Column:
     """The words of a text with A-Z lower-cased; null has none."""
-    cut = F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK)
-    return F.filter(cut, lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.char_length(text)  # lower() is then quick, and the same
+    cut = F.split(F.when(ascii_only, F.lower(text)).otherwise(ascii_lower(text)), BREAK)
+    return F.array_remove(cut, "")
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -45,74 +49,75 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc, pos) of ``docs`` (doc, w) for the terms given: the index entries to store."""
-    tokens = docs.select("doc", F.posexplode("w").alias("pos", "term"))
-    return tokens.join(maybe_broadcast(terms), "term").select("term", "doc", "pos")
+def numbered(terms: DataFrame) -> DataFrame:
+    """(term, number) of distinct terms; the mark has the number -1. The numbers' order means nothing."""
+    dense = terms.select("term").distinct().withColumn("number", F.monotonically_increasing_id())
+    return dense.unionByName(terms.sparkSession.createDataFrame([(MARK, -1)], "term string, number long"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often each of the terms occurs in all documents; terms that never do have no row."""
-    return docs.select(F.explode("w").alias("term")).join(maybe_broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc, text_crc, pos, number) of docs (doc, text) for the numbered terms given: the index entries to store."""
+    tokens = docs.select("doc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc"), F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(MARK)))).alias("pos", "term"))
+    return tokens.join(maybe_broadcast(terms), "term").select(*DOC, "pos", "number")
 
 
-def phrase_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, window, start, length): every exact occurrence of a window. docs: (doc, w); wanted: (window, terms), distinct windows."""
-    slots = materialised(wanted.select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("off", "term")), "slots")
-    vocabulary = slots.select("term").distinct()
-    counts = materialised(term_counts(docs, vocabulary), "term-counts")
+def phrase_hits(index: DataFrame, slots: DataFrame) -> DataFrame:
+    """(doc, text_crc, window, start, length): every exact occurrence of a window. slots: (window, length, off, number), a row for each word of each window."""
+    counts = materialised(index.filter("number >= 0").groupBy("number").agg(F.count("*").alias("n")), "term-counts")
     # a window with a term that no document has cannot occur; of the others, the rarest two slots are looked up first
-    by_rarity = Window.partitionBy("window").orderBy("n", "term", "off")
-    ranked = slots.join(maybe_broadcast(counts), "term").withColumn("rank", F.row_number().over(by_rarity))
+    by_rarity = Window.partitionBy("window").orderBy("n", "number", "off")
+    ranked = slots.join(maybe_broadcast(counts), "number").withColumn("rank", F.row_number().over(by_rarity))
     whole = ranked.groupBy("window").agg(F.count("*").alias("present"), F.first("length").alias("full")).filter("present = full").select("window")
     ranked = materialised(ranked.join(whole, "window", "left_semi"), "ranked-slots")
-    rare = ranked.filter("rank <= 2")
-    index = materialised(postings(docs, rare.select("term").distinct()), "rare-postings")
-
-    def starts(entries: DataFrame, probe: DataFrame) -> DataFrame:
-        return entries.join(maybe_broadcast(probe.select("term", "window", "length", "off")), "term").select("doc", "window", "length", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
-
-    first = starts(index, rare.filter("rank = 1"))
-    second = starts(index, rare.filter("rank = 2")).select("doc", "window", "start")
-    pairs = first.filter("length > 1").join(second, ["doc", "window", "start"], "left_semi").unionByName(first.filter("length = 1"))
-    candidates = materialised(pairs, "candidates")
-    # the remaining terms: postings of the candidate documents alone, joined to where each candidate needs them
-    rest = ranked.filter("rank > 2").select("window", "off", "term")
-    needed = candidates.join(maybe_broadcast(rest), "window").select("doc", (F.col("start") + F.col("off")).alias("pos"), "term", "window", "start")
-    touched = docs.join(candidates.select("doc").distinct(), "doc", "left_semi")
-    lists = postings(touched, rest.select("term").distinct())
-    confirmed = needed.join(lists, ["doc", "pos", "term"], "left_semi").groupBy("doc", "window", "start").agg(F.count("*").alias("found"))
-    joined = candidates.join(confirmed, ["doc", "window", "start"], "left")
-    return joined.filter(F.coalesce("found", F.lit(0)) == F.greatest(F.col("length") - 2, F.lit(0))).select("doc", "window", "start", "length")
+
+    def starts(rank: int) -> DataFrame:
+        probe = ranked.filter(F.col("rank") == rank).select("number", "window", "length", "off")
+        return index.join(maybe_broadcast(probe), "number").select(*DOC, "window", "length", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
+
+    first = starts(1)
+    both = first.filter("length > 1").join(starts(2).drop("length"), [*DOC, "window", "start"], "left_semi").unionByName(first.filter("length = 1"))
+    candidates = materialised(both, "candidates")
+    # the remaining terms: the postings of candidate documents, joined to where each candidate needs them
+    rest = ranked.filter("rank > 2").select("window", "off", "number")
+    needed = candidates.join(maybe_broadcast(rest), "window").select(*DOC, (F.col("start") + F.col("off")).alias("pos"), "number", "window", "start")
+    touched = maybe_broadcast(candidates.select(*DOC).distinct())
+    lists = index.join(maybe_broadcast(rest.select("number").distinct()), "number", "left_semi").join(touched, [*DOC], "left_semi")
+    confirmed = needed.join(lists, [*DOC, "pos", "number"], "left_semi").groupBy(*DOC, "window", "start").agg(F.count("*").alias("found"))
+    joined = candidates.join(confirmed, [*DOC, "window", "start"], "left")
+    return joined.filter(F.coalesce("found", F.lit(0)) == F.greatest(F.col("length") - 2, F.lit(0))).select(*DOC, "window", "start", "length")
 
 
 def proximity_hits(docs: DataFrame, a: str, b: str, within: int) -> DataFrame:
-    """(doc, pos, other): occurrences of term a with a term b at most ``within`` words away, from the same postings."""
-    terms = docs.sparkSession.createDataFrame([(a,), (b,)], "term string").distinct()
+    """(doc, pos, other): occurrences of term a with another term b at most ``within`` words away, from the same postings. docs: (doc, text)."""
+    terms = docs.sparkSession.createDataFrame([(a, 0), (b, 1)], "term string, number long")
     index = postings(docs, terms)
-    left = index.filter(F.col("term") == a).select("doc", "pos", (F.col("pos") / within).cast("long").alias("cell"))
-    right = index.filter(F.col("term") == b).select("doc", F.col("pos").alias("other"), F.explode(F.array(*((F.col("pos") / within).cast("long") + d for d in (-1, 0, 1)))).alias("cell"))
-    return left.join(right, ["doc", "cell"]).filter((F.abs(F.col("pos") - F.col("other")) <= within) & (F.col("pos") != F.col("other"))).select("doc", "pos", "other")
+    cell = (F.col("pos") / within).cast("long")
+    left = index.filter("number = 0").select(*DOC, "pos", cell.alias("cell"))
+    right = index.filter("number = 1").select(*DOC, F.col("pos").alias("other"), F.explode(F.array(*(cell + d for d in (-1, 0, 1)))).alias("cell"))
+    return left.join(right, [*DOC, "cell"]).filter((F.abs(F.col("pos") - F.col("other")) <= within) & (F.col("pos") != F.col("other"))).select("doc", "pos", "other")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) per row of docs.
 
     n_hit counts the words inside any occurrence of a window, n_items the items with occurring windows; null and empty
-    texts have no words and are never hit, nor do null or wordless items contribute. Ids must be unique, as the index
-    addresses documents by them; a null id is reported without hits. An empty benchmark hits nothing; an
-    empty table gives no rows; other columns are ignored.
+    texts have no words and are never hit, nor do null or wordless items contribute. Rows with one id are told apart by
+    their texts; a row with a null id is reported without hits. An empty benchmark hits nothing; an empty table gives
+    no rows; other columns are ignored.
     """
     require(docs, (id_col, text_col))
-    split = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w"))
     runs = materialised(windows(benchmark, size), "windows")
-    hits = materialised(phrase_hits(split, runs.select("window", "terms").distinct()), "hits")
-    covered = hits.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
-    named = hits.select("doc", "window").distinct().join(maybe_broadcast(runs.select("window", "item")), "window").groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = covered.join(named, "doc")
-    sizes = split.select("doc", F.size("w").cast("long").alias("n_words"))
+    terms = materialised(numbered(runs.select(F.explode("terms").alias("term"))), "terms")
+    index = materialised(postings(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), terms), "postings")
+    spread = runs.select("window", "terms").distinct().select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("off", "term"))
+    slots = materialised(spread.join(terms, "term").drop("term"), "slots")
+    hits = materialised(phrase_hits(index, slots), "hits")
+    covered = hits.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy(*DOC).agg(F.count("*").alias("n_hit"))
+    named = hits.select(*DOC, "window").distinct().join(maybe_broadcast(runs.select("window", "item")), "window").groupBy(*DOC).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = covered.join(named, [*DOC])
+    sizes = index.filter("number = -1").select(*DOC, F.col("pos").cast("long").alias("n_words"))
     n_items = F.coalesce(F.size("items"), F.lit(0)).cast("long")
-    return sizes.join(found, "doc", "left").select(
+    return sizes.join(found, [*DOC], "left").select(
         F.col("doc").alias("id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
