@@ -31,12 +31,12 @@ WINDOW, STRIDE = 64, 48
 SAMPLE_ROWS, ROW_WINDOWS = 8_000, 6
 WORD_VECTORS, LEAST_WINDOWS, LONGEST_WORD = 4000, 12, 11
 D_WORD, D_CHAR, H_CHAR, H_WORD, CHARS = 8, 8, 8, 8, 72
-BATCH, EPOCHS, MOST_STEPS, RATE, SEED = 64, 6, 600, 0.01, 7
+BATCH, EPOCHS, LEAST_STEPS, MOST_STEPS, RATE, SEED = 64, 6, 500, 600, 0.01, 7
 #: Clean windows scored each time hard ones are looked for.
 MINED = 8000
 THRESHOLD = 0.3
 #: Rows of the table of word inputs kept in a worker.
-TABLE_ROWS = 300_000
+TABLE_ROWS = 100_000
 
 _WORD = re.compile(r"\w+")
 
@@ -345,7 +345,7 @@ def train(windows: list[list[str]], labels: np.ndarray, rows: np.ndarray) -> Mod
     ids = np.array([vocabulary.get(w, 0) for w in distinct])
     coded = [np.array([distinct[w] for w in ws]) for ws in windows]
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-    steps = min(MOST_STEPS, EPOCHS * -(-len(fitting) // BATCH))
+    steps = min(MOST_STEPS, max(LEAST_STEPS, EPOCHS * -(-len(fitting) // BATCH)))
     half = BATCH // 2
     toxic, clean = fitting[labels[fitting] > 0], fitting[labels[fitting] == 0]
     pools = [toxic, clean]
