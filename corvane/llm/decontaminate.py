@@ -76,7 +76,7 @@ def phrase_hits(index: DataFrame, slots: DataFrame) -> DataFrame:
 
     first = starts(1)
     both = first.filter("length > 1").join(starts(2).drop("length"), [*DOC, "window", "start"], "left_semi").unionByName(first.filter("length = 1"))
-    candidates = materialised(both, "candidates")
+    candidates = materialised(both.distinct(), "candidates")  # a repeated row has the same postings again: each start is confirmed once
     # the remaining terms: the postings of candidate documents, joined to where each candidate needs them
     rest = ranked.filter("rank > 2").select("window", "off", "number")
     needed = candidates.join(maybe_broadcast(rest), "window").select(*DOC, (F.col("start") + F.col("off")).alias("pos"), "number", "window", "start")

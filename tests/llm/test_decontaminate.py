@@ -52,6 +52,15 @@ def test_joins_that_shuffle_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items, 4)
 
 
+def test_repeated_rows_are_hit_like_one(spark):
+    passage = "one two three four five six seven"
+    docs, items = [(1, f"x {passage} y")] * 2 + [(2, passage)] * 3 + [(2, "nothing"), (3, f"{passage} {passage}"), (4, "two one"), (4, "two one")], [(7, passage), (8, "two one"), (9, "nothing")]
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (4, 10):
+        assert sorted(map(tuple, D.contamination(rows, bench, size=size).collect()), key=str) == brute(docs, items, size)
+    assert D.drop_contaminated(rows, bench).count() == 0
+
+
 def test_proximity(spark):
     text = "x b c a . a b b A x x x x x b a"
     docs = spark.createDataFrame([(1, text), (2, "a"), (3, None)], "doc long, text string")
