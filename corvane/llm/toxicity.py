@@ -5,17 +5,16 @@ word vector (one shared by all words rare in training) are the word's input to a
 a window of words, again pooled by attention and mapped to one logit. A text is cut into overlapping
 windows that cover all of it; its score is the calibrated maximum over all its windows.
 
-The network learns from a bounded sample of labelled rows (``SAMPLE_ROWS`` rows by hash of the id, at most ``ROW_WINDOWS``
-evenly spread windows of each); scoring reads every window of every text. Labels of texts stand in for those of
-windows: windows of a toxic text without anything toxic then look like clean ones, which keeps their
-probability at the share of such labels, and Platt scaling on texts not trained on sets the scale.
+The network learns from a bounded sample of labelled rows (``SAMPLE_ROWS`` rows by hash of the id) with every window of each;
+scoring reads every window of every text. Labels of texts stand in for those of windows: windows of a toxic text without anything toxic then look like clean ones, which keeps their
+probability at the share of such labels, and Platt scaling on texts not trained on sets the scale, from the maximum over
+all their windows as in scoring. Texts are drawn alike in training, whatever their number of windows.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +27,7 @@ from .common import require, small_batches
 from .language_id import held_out
 
 WINDOW, STRIDE = 64, 48
-SAMPLE_ROWS, ROW_WINDOWS = 8_000, 6
+SAMPLE_ROWS = 8_000
 WORD_VECTORS, LEAST_WINDOWS, LONGEST_WORD = 4000, 12, 11
 D_WORD, D_CHAR, H_CHAR, H_WORD, CHARS = 8, 8, 8, 8, 72
 BATCH, EPOCHS, LEAST_STEPS, MOST_STEPS, RATE, SEED = 64, 6, 500, 600, 0.01, 7
@@ -327,9 +326,17 @@ def scorer(model: Model) -> Scorer:
     return _SCORERS[model.key]
 
 
-def train(windows: list[list[str]], labels: np.ndarray, rows: np.ndarray) -> Model:
-    """Learns from windows with the labels and the numbers of the texts they come from."""
-    if not len(windows) or labels.min() == labels.max():
+def train(texts: list[str], text_labels: np.ndarray, numbers: np.ndarray) -> Model:
+    """Learns from texts (their words, joined by spaces) with their labels and numbers; texts of one number stay together."""
+    distinct: dict[str, int] = {}
+    coded, origin = [], []
+    for i, text in enumerate(texts):
+        found = np.array([distinct.setdefault(w, len(distinct)) for w in text.split()], np.int32)
+        for s in window_starts(len(found)):
+            coded.append(found[s : s + WINDOW])
+            origin.append(i)
+    labels, rows = text_labels[np.array(origin, np.int64)], numbers[np.array(origin, np.int64)]
+    if not len(coded) or labels.min() == labels.max():
         base = float(labels.mean()) if len(labels) else 0.0
         return Model(initial(0) | {"out": np.zeros(2 * H_WORD, np.float32)}, {}, 0.0, float(np.log(max(base, 1e-3) / max(1 - base, 1e-3))))
     rng = np.random.default_rng(SEED)
@@ -337,35 +344,37 @@ def train(windows: list[list[str]], labels: np.ndarray, rows: np.ndarray) -> Mod
     if labels[apart].sum() < 20 or (labels[apart] == 0).sum() < 20:
         apart = np.zeros(len(rows), bool)
     fitting = np.flatnonzero(~apart)
-    seen = Counter(w for i in fitting for w in set(windows[i]))
-    vocabulary = {w: i for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:WORD_VECTORS], 1) if n >= LEAST_WINDOWS}
+    names, seen = list(distinct), np.zeros(len(distinct), np.int64)
+    for i in fitting:
+        seen[np.unique(coded[i])] += 1
+    often = sorted(np.flatnonzero(seen >= LEAST_WINDOWS), key=lambda i: (-seen[i], names[i]))[:WORD_VECTORS]
+    vocabulary = {names[k]: i for i, k in enumerate(often, 1)}
+    share = 1 / np.bincount(rows)[rows]  # of a text's draws, what each of its windows gets
+
+    def windows(some: np.ndarray) -> list[str]:
+        return [" ".join([names[j] for j in coded[i]]) for i in some]
+
+    def drawn_from(pool: np.ndarray, n: int) -> np.ndarray:
+        ends = np.cumsum(share[pool])
+        return pool[np.minimum(np.searchsorted(ends, rng.random(n) * ends[-1], side="right"), len(pool) - 1)]
+
     p = initial(len(vocabulary))
-    distinct = {w: i for i, w in enumerate(sorted({w for ws in windows for w in ws}))}
-    spelled, spelled_mask = spell(list(distinct))
-    ids = np.array([vocabulary.get(w, 0) for w in distinct])
-    coded = [np.array([distinct[w] for w in ws]) for ws in windows]
+    spelled, spelled_mask = spell(names)
+    ids = np.array([vocabulary.get(w, 0) for w in names])
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     steps = min(MOST_STEPS, max(LEAST_STEPS, EPOCHS * -(-len(fitting) // BATCH)))
     half = BATCH // 2
     toxic, clean = fitting[labels[fitting] > 0], fitting[labels[fitting] == 0]
     pools = [toxic, clean]
-    orders = [rng.permutation(x) for x in pools]
     for step in range(steps):
         if step in (steps * 2 // 10, steps * 5 // 10, steps * 8 // 10):
             # set aside windows of toxic texts that look clean next to the most suspect one of their text, and favour clean windows that look toxic
             own = Scorer(Model(p, vocabulary))
             drawn = clean[rng.permutation(len(clean))[:MINED]]
-            logits, usual = (np.array(own.logits([" ".join(windows[i]) for i in some])) for some in (toxic, drawn))
+            logits, usual = (np.array(own.logits(windows(some))) for some in (toxic, drawn))
             top = pd.Series(logits).groupby(rows[toxic]).transform("max").to_numpy()
             pools = [toxic[logits >= (top + np.median(usual)) / 2], np.concatenate([drawn[np.argsort(-usual, kind="stable")[: len(drawn) // 5]], drawn[: len(drawn) // 5]])]
-            orders = [rng.permutation(x) for x in pools]
-        batch = []
-        for k, pool in enumerate(pools):  # toxic windows are few: half of each batch are such
-            at = step * half % len(pool)
-            if at < half:
-                orders[k] = rng.permutation(pool)
-            batch.append(np.take(orders[k], range(at, at + half), mode="wrap"))
-        batch = np.concatenate(batch)
+        batch = np.concatenate([drawn_from(pool, half) for pool in pools])  # toxic windows are few: half of each batch are such
         longest = max(len(coded[i]) for i in batch)
         index, mask = np.zeros((len(batch), longest), np.int64), np.zeros((len(batch), longest), np.float32)
         for k, i in enumerate(batch):
@@ -386,7 +395,7 @@ def train(windows: list[list[str]], labels: np.ndarray, rows: np.ndarray) -> Mod
     if not apart.any():
         apart[:] = True
     held = np.flatnonzero(apart)
-    logits = np.array(Scorer(model).logits([" ".join(windows[i]) for i in held]))
+    logits = np.array(Scorer(model).logits(windows(held)))
     top = pd.DataFrame({"row": rows[held], "logit": logits, "label": labels[held]}).groupby("row").max()
     model.empty = float(np.median(logits[labels[held] == 0])) if (labels[held] == 0).any() else 0.0
     model.slope, model.shift = platt(top["logit"].to_numpy(), top["label"].to_numpy())
@@ -414,20 +423,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     if total > sample_rows:
         rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            out = []
-            for i, text, label in zip(part["id"], part["text"], part["label"]):
-                found = words(text)
-                starts = window_starts(len(found))
-                for s in starts if len(starts) <= ROW_WINDOWS else [starts[k * len(starts) // ROW_WINDOWS] for k in range(ROW_WINDOWS)]:
-                    out.append((i, s, " ".join(found[s : s + WINDOW]), label))
-            yield pd.DataFrame(out, columns=["id", "at", "window", "label"])
+            yield pd.DataFrame({"id": part["id"], "words": [" ".join(words(text)) for text in part["text"]], "label": part["label"]})
 
     id_type = rows.schema["id"].dataType.simpleString()
     small_batches(rows.sparkSession)
-    sample = rows.mapInPandas(cut, f"id {id_type}, at int, window string, label int").toPandas().sort_values(["id", "at"], kind="stable")
-    return train([w.split(" ") for w in sample["window"]], sample["label"].to_numpy(), pd.factorize(sample["id"])[0])
+    sample = rows.mapInPandas(read, f"id {id_type}, words string, label int").toPandas().sort_values(["id", "words"], kind="stable")
+    return train(list(sample["words"]), sample["label"].to_numpy(), pd.factorize(sample["id"], use_na_sentinel=False)[0])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:

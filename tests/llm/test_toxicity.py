@@ -85,6 +85,21 @@ def test_edges(scored):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in scored[-1])
 
 
+def test_every_window_of_long_texts_is_learnt_from(spark):
+    rng = random.Random(8)
+    neutral = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(250)]
+    rows = []
+    for i in range(600):
+        w = [rng.choice(neutral) for _ in range(700)]
+        if i % 3 == 0:
+            w[215:218] = rng.sample(["idiot", "scum", "moron"], 3)  # in the fifth of 15 windows alone
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    model = T.fit(spark.createDataFrame(rows[:450], "doc_id long, text string, toxic int"))
+    scores = [model.probability(x) for x in T.Scorer(model).logits([text for _, text, _ in rows[450:]])]
+    assert np.mean([p >= T.THRESHOLD for p, r in zip(scores, rows[450:]) if r[2]]) >= 0.9
+    assert np.mean([p >= T.THRESHOLD for p, r in zip(scores, rows[450:]) if not r[2]]) <= 0.05
+
+
 def test_empty_tables_and_missing(spark):
     docs = spark.createDataFrame([(1, "some words", "x"), (2, None, "y")], "doc_id long, text string, source string")
     marks = spark.createDataFrame([], "doc_id long, toxic int")
