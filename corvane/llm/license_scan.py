@@ -7,7 +7,9 @@ the gaps between them are aligned in the same way. A gap without such words is a
 subsequence of all its words, which is the same search over every match instead of the unique ones.
 
 Only stretches that hold enough of a template's words, as a multiset, are aligned: no alignment can cover more, so
-nothing is lost. Templates are few and fixed (a bound is checked); the work is one pass over the texts, without a shuffle.
+nothing is lost. Coverage alone can't tell neighbouring licenses apart, whose notices differ in a word; where a scan is
+``identified``, the words that name a license and its version must be matched too, side by side, and short forms word for
+word. Templates are few and fixed (a bound is checked); the work is one pass over the texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -45,6 +47,53 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
+#: Phrases that must be matched without a gap, in each template of the license that has them.
+IDENTITY: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License", "2.0"),
+    "MIT": ("MIT",),
+    "GPL-3.0": ("GNU General Public License", "version 3"),
+    "GPL-2.0": ("GNU General Public License", "version 2"),
+    "LGPL-3.0": ("GNU Lesser General Public License", "version 3"),
+    "LGPL-2.1": ("GNU Lesser General Public License", "version 2.1"),
+    "AGPL-3.0": ("GNU Affero General Public License", "version 3"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0",),
+    "CC-BY-4.0": ("Attribution 4.0",),
+    "CC-BY-SA-4.0": ("Attribution-ShareAlike 4.0",),
+    "MPL-2.0": ("Mozilla Public License", "2.0"),
+}
+
+#: Notices like the GPL's, of its neighbours.
+NEIGHBOURS: tuple[tuple[str, str], ...] = tuple(
+    (name, text.replace("GNU General", f"GNU {kind}General").replace("version 3", f"version {version}"))
+    for name, kind, version in (("GPL-2.0", "", "2"), ("LGPL-3.0", "Lesser ", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("AGPL-3.0", "Affero ", "3"))
+    for license, text in TEMPLATES
+    if license == "GPL-3.0"
+)
+
+#: Names of licenses as they stand in one-line notices, found word for word only. No form may be part of a notice of another license.
+SHORT_FORMS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "Apache License 2.0"),
+    ("GPL-3.0", "GNU General Public License version 3.0"),
+    ("GPL-2.0", "GNU General Public License version 2.0"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3.0"),
+    ("AGPL-3.0", "GNU Affero General Public License version 3.0"),
+    ("LicenseRef-BSD", "Released under the BSD License"),
+    ("LicenseRef-BSD", "Licensed under the BSD License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "Released under the ISC License"),
+    ("ISC", "Licensed under the ISC License"),
+    ("EPL-2.0", "Eclipse Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    *((f"CC-{kind}-4.0", f"CC {kind} 4.0") for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"),
+)
+
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 FOUND = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
 FOUND_DDL = "array<struct<license: string, coverage: double, matched: int, first_word: long, last_word: long>>"
@@ -109,7 +158,7 @@ def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
 class Templates:
     """Templates with their words numbered; 0 is any other word."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], least: float = LEAST_COVERAGE):
+    def __init__(self, templates: Sequence[tuple[str, str]], least: float = LEAST_COVERAGE, identified: bool = False):
         if len(templates) > MOST_TEMPLATES:
             raise ValueError(f"more than {MOST_TEMPLATES} templates")
         cut = [(name, words(text)) for name, text in templates]
@@ -121,6 +170,21 @@ class Templates:
         self.counts = np.array([np.bincount(w, minlength=len(self.vocabulary) + 1) for w in self.words])
         self.need = [max(1, int(np.ceil(least * len(w) - 1e-9))) for w in self.words]
         self.stretch = [int(np.ceil(SPREAD * len(w))) for w in self.words]
+        self.marks: list[list[range]] = [[] for _ in cut]  # places of the phrases that must be matched without a gap
+        for k, ((name, ws), form) in enumerate(zip(cut, templates)):
+            if identified and form in SHORT_FORMS:
+                self.marks[k] = [range(len(ws))]
+            elif identified:
+                phrases = [words(x) for x in IDENTITY.get(name, ())]
+                first = [next((i for i in range(len(ws)) if ws[i : i + len(x)] == x), None) for x in phrases]
+                self.marks[k] = [range(i, i + len(x)) for i, x in zip(first, phrases) if i is not None]
+
+    def identifies(self, k: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether the pairs (place in the text, place in template k) match all that names the license."""
+        if not self.marks[k]:
+            return True
+        at = {j: i for i, j in pairs}
+        return all(j in at and at[j] - j == at.get(mark[0], -1) - mark[0] for mark in self.marks[k] for j in mark)
 
     def starts(self, k: int, ids: np.ndarray) -> list[int]:
         """Places of template k's words in ids from which a stretch holds enough of the template's words as a multiset."""
@@ -161,7 +225,7 @@ class Templates:
                 if at <= done:
                     continue
                 pairs = align(ids[at : at + self.stretch[k]].tolist(), template)
-                if len(pairs) >= self.need[k]:
+                if len(pairs) >= self.need[k] and self.identifies(k, pairs):
                     first, last = at + pairs[0][0], at + pairs[-1][0]
                     found = (-round(len(pairs) / len(template), 6), -len(pairs), first, last)
                     best[self.names[k]] = min(best.get(self.names[k], found), found)
@@ -174,15 +238,15 @@ class Templates:
 _KNOWN: dict[tuple, Templates] = {}
 
 
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, found) per row of docs: found lists the licenses of its text, best coverage first, with the places of the first and last matched word.
+def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text", identified: bool = False) -> DataFrame:
+    """(id, found) per row of docs: found lists the licenses of its text, best coverage first, with the places of the first and last matched word. Where ``identified``, licenses whose name or version isn't matched are left out.
 
     Null, empty and wordless texts have none; equal coverages are ordered by matched words, then name; repeated rows and
     null ids stay as they are; an empty table gives no rows; other columns are ignored.
     """
     require(docs, (id_col, text_col))
     small_batches(docs.sparkSession)
-    key = (tuple(templates), least)
+    key = (tuple(templates), least, identified)
     Templates(*key)  # refused here rather than on the executors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +262,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, leas
 
 
 def best_license(docs: DataFrame) -> DataFrame:
-    """doc_id, license (null if none), coverage, n_matched, first_word, last_word, n_licenses of every document."""
+    """doc_id, license (null if none is identified), coverage, n_matched, first_word, last_word, n_licenses of every document."""
     top = F.get("found", F.lit(0))
-    return scan(docs).select(
+    return scan(docs, (*TEMPLATES, *NEIGHBOURS, *SHORT_FORMS), identified=True).select(
         F.col("id").alias("doc_id"),
         top["license"].alias("license"),
         F.coalesce(top["coverage"], F.lit(0.0)).alias("coverage"),

@@ -110,6 +110,39 @@ def test_spans_and_very_long_texts(spark):
     assert got == [mit, mit, (3, None, 0.0, 0, None, None, 0), (None, "CC-BY-NC-4.0", 1.0, 5, 0, 4, 1)]
 
 
+def test_neighbouring_licenses_are_told_apart(spark):
+    by = {name: text for name, text in L.TEMPLATES}
+    gpl = "This work is licensed under the GNU {}General Public License, version {}."
+    want = [
+        ("Released under the Apache License.", None),
+        ("Released under the BSD License.", "LicenseRef-BSD"),
+        ("Released under the MIT License.", "MIT"),
+        ("Licensed under the MIT License.", "MIT"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY-NC 3.0.", None),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Licensed under the Eclipse Public License, Version 2.0.", "EPL-2.0"),
+        (gpl.format("", 3), "GPL-3.0"),
+        (gpl.format("", "3.0"), "GPL-3.0"),
+        (gpl.format("", 2), "GPL-2.0"),
+        (gpl.format("Lesser ", 3), "LGPL-3.0"),
+        (gpl.format("Lesser ", "2.1"), "LGPL-2.1"),
+        (gpl.format("Affero ", 3), "AGPL-3.0"),
+        (by["GPL-3.0"], "GPL-3.0"),
+        (by["GPL-3.0"].replace("GNU General", "GNU Lesser General"), "LGPL-3.0"),
+        (by["GPL-3.0"].replace("version 3", "version 2"), "GPL-2.0"),
+        (by["CC-BY-4.0"], "CC-BY-4.0"),
+        (by["CC-BY-SA-4.0"], "CC-BY-SA-4.0"),
+        (by["CC-BY-4.0"].replace("Attribution", "Attribution-NonCommercial"), "CC-BY-NC-4.0"),
+        (by["CC-BY-4.0"].replace("4.0 International", "3.0 Unported"), None),
+    ]
+    got = L.best_license(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["license"], r["n_licenses"]) for r in got} == {i: (name, int(name is not None)) for i, (_, name) in enumerate(want)}
+
+
 def test_two_clauses_are_not_three():
     by = {name: text for name, text in L.TEMPLATES}
     known = L.Templates(L.TEMPLATES)
