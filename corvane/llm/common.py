@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,10 +60,11 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
         raise ValueError(f"columns missing from the input: {', '.join(missing)}")
 
 
-def only_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is in kept (one column), and those without an id: what can't be named isn't dropped."""
-    named = docs.join(kept.toDF(id_col).distinct(), id_col, "left_semi").select(*docs.columns)
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+def only_rows(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
+    """One row of docs for each (doc_id, digest of its text) in kept, and all rows without a doc_id: what can't be named isn't dropped."""
+    key = ["doc_id", "_digest"]
+    named = docs.withColumn("_digest", digest).join(kept.toDF(*key).distinct(), key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:

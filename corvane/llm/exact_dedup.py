@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialised, only_ids, require
+from .common import ascii_lower, materialised, only_rows, require
 
 
 class CuckooFilter:
@@ -204,4 +204,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, that with the largest doc_id; all columns kept, and all rows without a doc_id."""
-    return only_ids(docs, exact_duplicates(docs.select("doc_id", "text")).filter("kept and id is not null").select("id"))
+    digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
+    return only_rows(docs, exact_duplicates(docs.select("doc_id", "text")).filter("kept and id is not null").select("id", "text_sha256"), digest)

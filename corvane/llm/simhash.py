@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialised, only_ids, require
+from .common import connected_components, materialised, only_rows, require
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Bits of each block; a key keeps two of the three.
@@ -52,15 +52,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp) and the ``keep`` columns: fp the fingerprint as a signed long."""
     require(docs, (id_col, text_col))
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([signed(fingerprint(t)) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("fp"), *keep)
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -135,6 +135,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return variants(fps).repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long")
 
 
+def components(docs: DataFrame, id_col: str, text_col: str, radius: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, root, component_id) and the ``keep`` columns per row of docs: root is the component's least fingerprint."""
+    own = materialised(fingerprints(docs, id_col, text_col, keep), "simhash")
+    groups = materialised(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-groups")
+    roots = connected_components(links(groups.select("fp"))).withColumnsRenamed({"node": "fp"})
+    rooted = groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) per row of docs: 16 hex digits, and the smallest id reachable over links.
 
@@ -142,15 +152,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share one fingerprint; repeated ids keep their rows; a null id stays null and names no component
     unless its component has no other id. An empty table gives no rows. Other columns are ignored.
     """
-    own = materialised(fingerprints(docs, id_col, text_col), "simhash")
-    groups = materialised(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-groups")
-    roots = connected_components(links(groups.select("fp"))).withColumnsRenamed({"node": "fp"})
-    rooted = groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_fp = rooted.join(named, "root").select("fp", "component_id")
-    return own.join(per_fp, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return components(docs, id_col, text_col, radius).select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates of an earlier row: of each component the smallest doc_id stays, all its columns kept, and all rows without a doc_id."""
-    return only_ids(docs, near_duplicates(docs.select("doc_id", "text")).filter("id = component_id").select("id"))
+    """docs without the near-duplicates of an earlier row: of each component one row with the smallest doc_id stays, all its columns kept, and all rows without a doc_id."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    rows = components(docs.select("doc_id", "text", digest.alias("digest")), "doc_id", "text", RADIUS, ("digest",))
+    kept = rows.filter("id = component_id").groupBy("root").agg(F.min(F.struct("id", "digest")).alias("row"))
+    return only_rows(docs, kept.select("row.id", "row.digest"), digest)

@@ -66,6 +66,16 @@ def test_equals_brute_force(spark, tmp_path):
         assert (r["text"], r["lang"], r["source"], r["n_chars"], r["n_tokens"] * 4) == (text, lang, source, n, len(r["ids"]))
 
 
+def test_dedup_keeps_rows_not_ids(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one), (1, one), (2, one), (2, one), (2, two), (3, two), (4, three), (4, three), (None, three), (None, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = lambda out: sorted(map(tuple, out.collect()), key=key)
+    assert got(exact_dedup.drop_duplicates(docs)) == [(2, one), (3, two), (4, three), (None, three), (None, three)]
+    assert got(simhash.keep_representatives(docs)) == [(1, one), (2, two), (4, three), (None, three), (None, three)]
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     sf_dir = f"file://{tmp_path}/sf"
     corpus(sf_dir, spark)
