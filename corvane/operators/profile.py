@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Sequence
-from functools import cache
-from pathlib import Path
 
-import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import plain_words, stem_and_extension
 
+#: The English stop words in general use. Forms with an apostrophe never match, as punctuation goes before them.
+STOP_WORDS: tuple[str, ...] = tuple(
+    """
+    i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her
+    hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these those am is are was
+    were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about
+    against between into through during before after above below to from up down in out on off over under again further then once here
+    there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will
+    just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn
+    hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren
+    weren't won won't wouldn wouldn't
+    """.split()
+)
+
 
-@cache
 def stop_words() -> tuple[str, ...]:
-    """Spark ML's English list, from the library itself."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+    return STOP_WORDS
 
 
 def corpus_words(docs: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
