@@ -46,8 +46,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = (("byte_bpe_50k", public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN), ("byte_bpe_multi_50k", public_tokenizers.path(MULTI_FILE), public_tokenizers.PATTERN))
-    return token_counts.corpus_rollup(table(spark, sf_dir, "documents"), scratch(spark, "token-ledger"), first, second)
+    versions = {name: (public_tokenizers.path(file), public_tokenizers.PATTERN) for name, file in (("byte_bpe_50k", BPE_FILE), ("byte_bpe_multi_50k", MULTI_FILE))}
+    return token_counts.corpus_rollup(table(spark, sf_dir, "documents"), scratch(spark, "token-ledger"), versions)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,11 @@ tokenizer version; totals are the sums of these deltas and never need the texts
 
 A batch is written to a folder of its own attempt and published by one rename to the next number of the log, which
 fails if that number is taken. A batch id that the log holds already is skipped, so batches may be sent again after any
-failure. What an attempt that didn't get so far leaves behind is never read.
+failure. What an attempt that didn't get so far leaves behind is never read. The rename must be atomic, as it is on HDFS and local
+disks; on an object store without that, writers have to be kept apart by other means.
+
+Every ``SNAPSHOT_EVERY`` batches the live counts are written out, so that a commit reads the last such snapshot and the entries
+behind it, not the whole log.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe
@@ -25,7 +30,8 @@ from .common import materialised, require, small_batches
 KEY, GROUP = ("doc_id", "tokenizer"), ("source", "lang", "tokenizer")
 ENTRY = "doc_id long, tokenizer string, source string, lang string, n_tokens long, old_source string, old_lang string, old_tokens long"
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-TRIES = 20
+TRIES, SNAPSHOT_EVERY = 20, 16
+LIVE = "doc_id long, tokenizer string, source string, lang string, n_tokens long"
 
 
 class TokenLedger:
@@ -46,16 +52,38 @@ class TokenLedger:
         """The ids of the published batches, with their numbers."""
         return {m[2]: int(m[1]) for x in self._found("log/seq=*/id=*") if (m := re.search(r"/seq=(\d+)/id=([^/]*)$", x))}
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        paths = self._found(f"log/seq=*/id=*/part={part}")
+    def _read(self, part: str, schema: str, after: int = 0) -> DataFrame:
+        paths = [x for x in self._found(f"log/seq=*/id=*/part={part}") if int(re.search(r"/seq=(\d+)/", x)[1]) > after]
         if not paths:
             return self.spark.createDataFrame([], f"{schema}, seq int")
         return self.spark.read.schema(f"{schema}, seq int").option("basePath", f"{self.folder}/log").parquet(*paths)
 
+    def snapshots(self) -> list[int]:
+        """The numbers of the batches whose state has been written out."""
+        return sorted(int(m[1]) for x in self._found("snapshots/seq=*") if (m := re.search(r"/seq=(\d+)$", x)))
+
     def live(self) -> DataFrame:
         """(doc_id, tokenizer, source, lang, n_tokens): the counts that hold now, each key's last entry unless it was a deletion."""
+        base = max(self.snapshots(), default=0)
+        entries = self._read("entries", ENTRY, base).select(*KEY, "source", "lang", "n_tokens", "seq")
+        if base:
+            entries = entries.unionByName(self.spark.read.schema(LIVE).parquet(f"{self.folder}/snapshots/seq={base:010d}").withColumn("seq", F.lit(base)))
+        last = F.max_by(F.struct("source", "lang", "n_tokens"), "seq").alias("now")
+        return entries.groupBy(*KEY).agg(last).select(*KEY, "now.*").filter(F.col("n_tokens").isNotNull())
+
+    def snapshot(self) -> int:
+        """Writes out the live counts as of the last batch, and returns its number; several writers write the same."""
+        seq = max(self.committed().values(), default=0)
+        if seq and seq not in self.snapshots():
+            attempt = f"attempts/{uuid.uuid4().hex}"
+            self.live_at(seq).write.parquet(f"{self.folder}/{attempt}")
+            self._publish(attempt, f"snapshots/seq={seq:010d}")
+        return seq
+
+    def live_at(self, seq: int) -> DataFrame:
+        """The counts that held after batch ``seq``, from the whole log."""
         last = F.max_by(F.struct("source", "lang", "n_tokens"), "seq").alias("now")
-        return self._read("entries", ENTRY).groupBy(*KEY).agg(last).select(*KEY, "now.*").filter(F.col("n_tokens").isNotNull())
+        return self._read("entries", ENTRY).filter(F.col("seq") <= seq).groupBy(*KEY).agg(last).select(*KEY, "now.*").filter(F.col("n_tokens").isNotNull())
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens): the sum of the published deltas; groups that hold no document have no row."""
@@ -83,7 +111,9 @@ class TokenLedger:
             seq = max(known.values(), default=0) + 1
             attempt = f"attempts/{uuid.uuid4().hex}"
             self._write(changes, f"{self.folder}/{attempt}/id={batch_id}", bool(known))
-            if self._publish(attempt, seq):
+            if self._publish(attempt, f"log/seq={seq:010d}"):
+                if seq % SNAPSHOT_EVERY == 0:
+                    self.snapshot()
                 return True
         raise RuntimeError(f"batch {batch_id} met another writer {TRIES} times")
 
@@ -102,10 +132,11 @@ class TokenLedger:
         sums = (F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n")).cast("long").alias("n_tokens"))
         rows.groupBy(*GROUP).agg(*sums).filter("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{path}/part=deltas")
 
-    def _publish(self, attempt: str, seq: int) -> bool:
+    def _publish(self, attempt: str, place: str) -> bool:
+        """Moves an attempt to its place; False if that is taken."""
         jvm = self.spark._jvm
         fs = jvm.org.apache.hadoop.fs
-        target, source = self._path(f"log/seq={seq:010d}"), self._path(attempt)
+        target, source = self._path(place), self._path(attempt)
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
         context = fs.FileContext.getFileContext(source.getFileSystem(conf).getUri(), conf)
         source.getFileSystem(conf).mkdirs(target.getParent())
@@ -118,50 +149,55 @@ class TokenLedger:
         return True
 
 
-def count(docs: DataFrame, versions: dict[str, tuple[str, str | None]], only: dict[str, str] | None = None, text_col: str = "text") -> DataFrame:
+def count(docs: DataFrame, versions: dict[str, tuple[str, str | None]], text_col: str = "text") -> DataFrame:
     """docs without its text, with a column of token counts for each version: {version: (rank file, pattern)}.
 
-    ``only`` names for some versions a boolean column of docs; where that isn't true, the count is null. Null texts have
-    no tokens. One pass over the texts for all versions.
+    Null texts have no tokens. One pass over the texts for all versions. A column of docs named like a version is left out.
     """
-    only = only or {}
-    require(docs, (text_col, *only.values()))
+    require(docs, (text_col,))
     small_batches(docs.sparkSession)
+    keep = [c for c in docs.columns if c != text_col and c.lower() not in {v.lower() for v in versions}]
     plans = [(byte_bpe.shipped(docs, path), pattern) for path, pattern in versions.values()]
-    kept = [c for c in docs.columns if c != text_col]
-    flags = [F.col(only[v]) if v in only else F.lit(True) for v in versions]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), *(f"`{v}` long" for v in versions)])
+    carried = docs.select(F.struct(F.lit(True).alias("__row"), *keep).alias("kept"), F.col(text_col).cast("string").alias("text"))
+    schema = f"kept {carried.schema['kept'].dataType.simpleString()}, n array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codecs = [byte_bpe.codec(ranks.value, pattern) for ranks, pattern in plans]
         for batch in batches:
-            counts: list[list] = [[] for _ in codecs]
-            wanted = [batch.column(len(kept) + 1 + k).to_pylist() for k in range(len(codecs))]
-            for at, text in enumerate(batch.column(len(kept))):
-                for own, bpe, flag in zip(counts, codecs, wanted):
-                    own.append(len(bpe.encode_packed(text.as_py())) // 4 if flag[at] else None)
-            yield pa.record_batch([*batch.columns[: len(kept)], *(pa.array(c, pa.int64()) for c in counts)], names=[*kept, *versions])
-
-    return docs.select(*kept, F.col(text_col).alias("__text"), *(f.alias(f"__flag{k}") for k, f in enumerate(flags))).mapInArrow(run, schema)
-
-
-def corpus_rollup(docs: DataFrame, folder: str, first: tuple[str, str, str | None], second: tuple[str, str, str | None], main_lang: str = "en") -> DataFrame:
-    """Totals by source, language and tokenizer version after the life of a corpus in three batches, each sent twice.
-
-    load: every document under the ``first`` version (name, rank file, pattern). copies: of documents with equal texts all
-    but the smallest doc_id are deleted. migrate: the live documents of any language but ``main_lang`` (null included) are
-    deleted under the first version and inserted under the ``second``. An empty table gives no rows.
+            counted = [[] for _ in codecs]
+            for part in byte_bpe.in_parts(batch.column(1)):
+                cut = byte_bpe.Chunks(part)
+                for own, bpe, (_, pattern) in zip(counted, codecs, plans):
+                    first = next(c for c, (_, p) in zip(codecs, plans) if p == pattern)  # versions of one pattern split texts once
+                    own.append(bpe.counts(part, cut, first.splitter))
+            table = np.stack([np.concatenate([np.empty(0, np.int64), *own]) for own in counted], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * len(codecs), pa.int32()), pa.array(table.ravel()))
+            yield pa.record_batch([batch.column(0), lists], names=["kept", "n"])
+
+    out = carried.mapInArrow(run, schema)
+    return out.select(*(F.col("kept").getField(c).alias(c) for c in keep), *(F.get("n", F.lit(i)).alias(v) for i, v in enumerate(versions)))
+
+
+def corpus_rollup(docs: DataFrame, folder: str, versions: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Totals by source, language and tokenizer version of all documents under all ``versions`` (name: rank file, pattern), after three batches, each sent twice.
+
+    load: every document under the first version, its count estimated as a quarter of its bytes, and under the version `bytes`.
+    count: the true counts, which revise the estimates and come in under the other versions. retire: the
+    version `bytes` is deleted. Null texts have no tokens; an empty table gives no rows; of rows with one id the
+    largest count holds.
     """
     require(docs, ("doc_id", "text", "source", "lang"))
-    own = docs.select("doc_id", "source", "lang", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), (~F.col("lang").eqNullSafe(F.lit(main_lang))).alias("moves"))
-    counted = materialised(count(own, {"n_first": first[1:], "n_second": second[1:]}, {"n_second": "moves"}), "token-counts")
+    own = docs.select("doc_id", "source", "lang", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    names = {f"n_{i}": v for i, v in enumerate(versions)}
+    counted = materialised(count(own, dict(zip(names, versions.values()))), "token-counts")
+
+    def changes(*entries: tuple[str, Column]) -> DataFrame:
+        of = [F.struct(F.lit(v).alias("tokenizer"), n.cast("long").alias("n_tokens")) for v, n in entries]
+        return counted.select("doc_id", "source", "lang", F.explode(F.array(*of)).alias("x")).select("doc_id", "source", "lang", "x.*")
+
+    n_bytes, first = F.col("n_bytes"), next(iter(versions))
     ledger = TokenLedger(docs.sparkSession, folder)
-    tagged = counted.withColumn("tokenizer", F.lit(first[0]))
-    load = tagged.withColumn("n_tokens", F.col("n_first"))
-    least = counted.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = materialised(tagged.join(least, "sha").filter("doc_id > least").withColumn("n_tokens", F.lit(None).cast("long")).select(*KEY, "source", "lang", "n_tokens"), "token-copies")
-    going = tagged.filter("moves").join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    migrate = going.withColumn("n_tokens", F.lit(None).cast("long")).select(*KEY, "source", "lang", "n_tokens").unionByName(going.withColumns({"tokenizer": F.lit(second[0]), "n_tokens": F.col("n_second")}).select(*KEY, "source", "lang", "n_tokens"))
-    for batch_id, changes in (("load", load), ("load", load), ("copies", copies), ("load", load), ("migrate", migrate), ("copies", copies), ("migrate", migrate)):
-        ledger.commit(batch_id, changes)
+    batches = {"load": changes((first, F.ceil(n_bytes / 4)), ("bytes", n_bytes)), "count": changes(*((v, F.col(c)) for c, v in names.items())), "retire": changes(("bytes", F.lit(None)))}
+    for batch_id in ("load", "load", "count", "load", "retire", "count", "retire"):
+        ledger.commit(batch_id, batches[batch_id])
     return ledger.totals()

@@ -3,7 +3,9 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -49,6 +51,23 @@ def test_equals_tiktoken_on_edges_and_random_texts(bpe, reference):
         assert bpe.decode(bpe.encode(t)) == t.encode()
 
 
+def test_batches_equal_tiktoken(reference, monkeypatch):
+    rng = random.Random(9)
+    pools = ["abcdefghij klmnop", "thein erandou ", " \n\t a.", "aA1 _-\n\t.,'", "é ü\u00a0\u2003ñ\u3000ß ação", "".join(map(chr, range(1, 700))), "aab "]
+    texts = EDGES + ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 300))) for _ in range(1500)]
+    texts += [" ".join("".join(rng.choice(["th", "er", "ing", "nd", "tion", "q", "é"]) for _ in range(rng.randrange(1, 9))) for _ in range(200)) for _ in range(50)]
+    bpe = byte_bpe.ByteBPE(byte_bpe.read_ranks(open(PATH, "rb").read()), P.PATTERN)
+    monkeypatch.setattr(byte_bpe, "CHUNKS_KEPT", 3000)
+    for size in (2000, 10**7):
+        got = []
+        for part in byte_bpe.in_parts(pa.array([*texts, None]), size):
+            ids, bounds = bpe.encode_all(part)
+            assert (bpe.counts(part) == np.diff(bounds)).all()
+            assert [bytes(x.as_py()) for x in bpe.decode_all(ids, bounds)] == [(t.as_py() or "").encode() for t in part]
+            got += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [reference.encode_ordinary(t or "") for t in [*texts, None]]
+
+
 def test_pieces_of_any_bytes_equal_naive_merging(bpe, ranks):
     rng = random.Random(3)
     tokens = list(ranks)
@@ -80,6 +99,8 @@ def test_digests_and_decode(spark, reference):
     assert got == sorted(want)
     encoded = byte_bpe.encode(docs, PATH, P.PATTERN)
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in byte_bpe.decode(encoded, PATH).collect()} == {i: t or "" for i, t, _ in rows}
+    clashing = byte_bpe.encode(docs.withColumnRenamed("ids", "n_tokens").withColumn("DECODED", docs.doc_id), PATH, P.PATTERN, keep=("doc_id", "text", "n_tokens", "DECODED"), round_trip=True)
+    assert clashing.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"] and {r["n_tokens"] * 4 - len(r["ids"]) for r in clashing.collect()} == {0}
     assert byte_bpe.digests(docs.limit(0), PATH, P.PATTERN).count() == 0
     with pytest.raises(ValueError):
         byte_bpe.encode(docs.drop("text"), PATH, P.PATTERN)

@@ -57,7 +57,7 @@ def test_a_taken_number_is_not_overwritten(spark, tmp_path):
     batch = spark.createDataFrame([(1, "v", "a", "x", 5, "")], SCHEMA)
     assert ledger.commit("one", batch)
     ledger._write(batch, f"{ledger.folder}/attempts/late/id=two", True)
-    assert not ledger._publish("attempts/late", 1)
+    assert not ledger._publish("attempts/late", "log/seq=0000000001")
     assert ledger.committed() == {"one": 1} and as_dict(ledger.totals()) == {("a", "x", "v"): (1, 5)}
 
 
@@ -71,19 +71,28 @@ def test_empty_batches_and_refusals(spark, tmp_path):
         ledger.commit("x", batch.drop("lang"))
 
 
+def test_snapshots_change_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "SNAPSHOT_EVERY", 2)
+    rng = random.Random(3)
+    ledger = T.TokenLedger(spark, f"file://{tmp_path}/ledger")
+    for b in range(5):
+        rows = [(i, "v", rng.choice("ab"), "x", rng.choice([None, 3, 8]), "") for i in rng.sample([None, *range(9)], 6)]
+        assert ledger.commit(f"b{b}", spark.createDataFrame(rows, SCHEMA))
+    assert ledger.snapshots() == [2, 4] and ledger.snapshot() == 5 == ledger.snapshots()[-1]
+    assert as_dict(ledger.totals()) == as_dict(ledger.recounted())
+    assert sorted(map(str, ledger.live().collect())) == sorted(map(str, ledger.live_at(5).collect()))
+
+
 def test_corpus_rollup_equals_brute_force(spark, tmp_path):
-    texts = ["Hello world, hello.", "Grüße aus Köln", "", None, "word " * 30_000, "Hello world, hello.", "¿Qué tal?", "Grüße aus Köln"]
+    texts = ["Hello world, hello.", "Grüße aus Köln", "", None, "word " * 30_000, "a\u2003b \u00a0 c\n\n  d", "¿Qué tal?", "Grüße aus Köln"]
     rows = [(i, texts[i % len(texts)], ["s1", "s2", None][i % 3], ["en", "de", None, "es"][i % 4], "clash", 1) for i in range(24)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, sha string, n_first int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kept string, n_0 int")
     files = {v: P.path(f"{f}.tiktoken") for v, f in (("one", "byte_bpe_50k"), ("multi", "byte_bpe_multi_50k"))}
     encoders = {v: tiktoken.Encoding(v, pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f, "rb"))}, special_tokens={}) for v, f in files.items()}
-    state, seen = {}, set()
-    for i, t, source, lang, *_ in rows:
-        if (t or "") in seen:
-            continue
-        seen.add(t or "")
-        v = "one" if lang == "en" else "multi"
-        state[i, v] = (source, lang, len(encoders[v].encode_ordinary(t or "")))
-    got = T.corpus_rollup(docs, f"file://{tmp_path}/ledger", *((v, f, P.PATTERN) for v, f in files.items()))
-    assert as_dict(got) == brute_totals(state)
-    assert T.corpus_rollup(docs.limit(0), f"file://{tmp_path}/empty", *((v, f, P.PATTERN) for v, f in files.items())).count() == 0
+    state = {(i, v): (source, lang, len(encoders[v].encode_ordinary(t or ""))) for i, t, source, lang, *_ in rows for v in files}
+    versions = {v: (f, P.PATTERN) for v, f in files.items()}
+    assert as_dict(T.corpus_rollup(docs, f"file://{tmp_path}/ledger", versions)) == brute_totals(state)
+    log = T.TokenLedger(spark, f"file://{tmp_path}/ledger")
+    revised = log._read("entries", T.ENTRY).filter("tokenizer = 'one' and old_tokens <> n_tokens").count()
+    assert sorted(log.committed()) == ["count", "load", "retire"] and revised > 5
+    assert T.corpus_rollup(docs.limit(0), f"file://{tmp_path}/empty", versions).count() == 0
