@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,11 +27,16 @@ def ascii_lower(column):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that all executors see: spark.checkpoint.dir, as a full URI. Where that is unset a local session gets a temporary one, and any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set; the executors need a folder that all of them see")
         found = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if "://" not in found:
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
     return found.rstrip("/")
 
 
@@ -45,6 +54,13 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def maybe_broadcast(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """df marked for broadcast if it has at most ``rows`` rows of ``size`` bytes in all (as JSON), counted up to that bound; else as it is, and the join shuffles."""
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files behind a materialised step that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
@@ -62,8 +78,8 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
 
 def only_rows(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
     """One row of docs for each (doc_id, digest of its text) in kept, and all rows without a doc_id: what can't be named isn't dropped."""
-    key = ["doc_id", "_digest"]
-    named = docs.withColumn("_digest", digest).join(kept.toDF(*key).distinct(), key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    key = ["doc_id", "__digest"]
+    named = docs.withColumn("__digest", digest).join(kept.toDF(*key).distinct(), key, "left_semi").dropDuplicates(key).select(*docs.columns)
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
@@ -110,6 +126,15 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return pairs.union(pairs.select(F.col("root").alias("node"), "root")).distinct()
 
 
+def released(batches: Iterable) -> Iterator:
+    """The batches of a task, behind the last of which what a Python worker has freed goes back to the system: workers outlive tasks, and with them what they hold."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what one Arrow batch of whole texts can hold: at most ``rows`` of them."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

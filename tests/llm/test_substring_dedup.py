@@ -38,6 +38,50 @@ def test_equals_brute_force(spark, seed, vocabulary):
     assert sorted(map(tuple, S.digests(docs).collect())) == brute(rows)
 
 
+def brute_repeats(rows):
+    """Each removed word's place, by document, from maximal stretches of windows that the same least owner has."""
+    return {(i, p) for i, w, gone in detail(rows) for p in gone}
+
+
+def detail(rows):
+    split = [(i, re.findall(r"[^\x20\x09-\x0d]+", t or "")) for i, t in rows]
+    least = {}
+    for i, w in split:
+        for k in range(len(w) - 12):
+            least[tuple(w[k : k + 13])] = min(i, least.get(tuple(w[k : k + 13]), i))
+    return [(i, w, {p for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}) for i, w in split]
+
+
+def test_repeats_are_maximal_and_agree_word_by_word(spark):
+    rows = texts(2, "the of and to x y z".split())
+    split = {i: w for i, w, _ in detail(rows)}
+    got = S.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["id"], p) for r in got for p in range(r["start"], r["start"] + r["n_words"])} == brute_repeats(rows)
+    for r in got:
+        a, b, n = split[r["id"]], split[r["owner"]], r["n_words"]
+        assert r["owner"] < r["id"] and n >= 13 and a[r["start"] : r["start"] + n] == b[r["owner_start"] : r["owner_start"] + n]
+
+
+def test_other_lengths(spark):
+    rows = texts(3, [f"w{i}" for i in range(200)])[:40]
+    for size in (6, 20):
+        least, split = {}, {i: S.words(t) for i, t in rows}
+        for i, w in split.items():
+            for k in range(len(w) - size + 1):
+                least.setdefault(tuple(w[k : k + size]), i)
+        want = {i: len({p for k in range(len(w) - size + 1) if least[tuple(w[k : k + size])] < i for p in range(k, k + size)}) for i, w in split.items()}
+        got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), size=size).collect()
+        assert {r["id"]: r["n_removed"] for r in got} == want
+
+
+def test_words_are_compared_not_hashes():
+    own = [f"w{i}".encode() for i in range(40)]
+    same = b" ".join(own[5:35])
+    assert list(S.confirmed(own, 5, same, 13)) == [(5, 30)]
+    other = b" ".join([*own[5:20], b"else", *own[21:35]])
+    assert list(S.confirmed(own, 5, other, 13)) == [(5, 15), (21, 14)] and list(S.confirmed(own, 5, other, 15)) == [(5, 15)]
+
+
 def test_very_long_text(spark):
     rng = random.Random(4)
     long = [f"u{rng.randrange(10**6)}" for _ in range(60_000)]
