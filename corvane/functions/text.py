@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: White space as str.split() has it, beyond what Java's \s matches.
 SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x00-\x20\x7F-\xA0]"
 UNKNOWN_SOURCE = "Source Document"
 
 
@@ -27,6 +28,11 @@ def terms(cleaned: Column) -> Column:
     return F.array_remove(F.split(cleaned, " "), "")
 
 
+def word_tokens(text: Column) -> Column:
+    """Lower-cased runs of letters, digits and underscores, and each other sign by itself; white space and control characters are left out."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
 def plain_words(text: Column) -> Column:
     """Words without ASCII punctuation, in lower case; punctuation goes first, so that "don't" is "dont"."""
     bare = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), PUNCTUATION, ""))

@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most ``rows`` rows, counted up to that bound; else as it is, and the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether df has at most ``rows`` rows of ``size`` bytes in all (as JSON); one job that reads no more than that many rows."""
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return n <= rows and (held or 0) <= size
+
+
+def small_side(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """df marked for broadcast if it is small; else as it is, and the join shuffles."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def top_per(df: DataFrame, group: str, score: Column, tie: str, k: int, rank: str = "rank") -> DataFrame:

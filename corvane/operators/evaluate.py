@@ -19,11 +19,11 @@ def references(golden: DataFrame) -> DataFrame:
     return golden.select("Question", F.coalesce("Answer", F.lit("")).alias("Reference_Answer"))
 
 
-def score_rows(rows: DataFrame) -> DataFrame:
-    """rows with the three scores; where either answer is empty or the call failed they are 0. rows: (Reference_Answer, Generated_Answer, Status, ...)."""
+def score_rows(rows: DataFrame, stemmed: bool = True) -> DataFrame:
+    """rows with the three scores (ROUGE-L over stems unless told otherwise); where either answer is empty or the call failed they are 0. rows: (Reference_Answer, Generated_Answer, Status, ...)."""
     usable = (F.coalesce("Reference_Answer", F.lit("")) != "") & (F.coalesce("Generated_Answer", F.lit("")) != "") & (F.col("Status") == "Success")
     ref, cand = (F.when(usable, F.col(c)).otherwise("") for c in ("Reference_Answer", "Generated_Answer"))
-    return rows.withColumns({"BLEU_Score": bleu(ref, cand), "ROUGE_L_F1": rouge_l(ref, cand), "BERTScore_F1": bertscore_f1(ref, cand)})
+    return rows.withColumns({"BLEU_Score": bleu(ref, cand), "ROUGE_L_F1": rouge_l(ref, cand, stemmed), "BERTScore_F1": bertscore_f1(ref, cand)})
 
 
 def summary(scored: DataFrame) -> DataFrame:

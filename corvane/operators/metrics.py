@@ -1,15 +1,15 @@
 """Answer metrics by their papers: BLEU (Papineni 2002, smoothing of Chen & Cherry 2014), ROUGE-L (Lin 2004), BERTScore (Zhang 2020).
 
-Each is one Arrow-batched pass over pairs of texts. Tokens of BLEU are the words of the cleaned text; ROUGE-L takes runs of
-letters and digits, stemmed when longer than three. BERTScore's token vectors are a plug-in; the default hashes
+Each is one Arrow-batched pass over pairs of texts. Tokens of BLEU are lower-cased words and single signs; ROUGE-L takes runs of
+ASCII letters and digits, stemmed when longer than three. BERTScore's token vectors are a plug-in; the default hashes
 character trigrams and is no language model.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.porter import stem
-from corvane.functions.text import clean_text, terms
+from corvane.functions.text import word_tokens
 
 ORDER, SMOOTHING_K, DIMENSIONS = 4, 5, 64
 
@@ -78,7 +78,7 @@ def hashed_vector(word: str) -> np.ndarray:
     """Unit vector of a word's hashed character trigrams."""
     v, padded = np.zeros(DIMENSIONS), f"<{word}>"
     for i in range(len(padded) - 2):
-        h = zlib.crc32(padded[i : i + 3].encode())
+        h = int(hashlib.md5(padded[i : i + 3].encode()).hexdigest()[:8], 16)
         v[h % DIMENSIONS] += 1 if h >> 16 & 1 else -1
     n = np.linalg.norm(v)
     return v / n if n else v
@@ -106,7 +106,7 @@ def _score(kind: Callable, reference: Column, candidate: Column) -> Column:
 
 
 def bleu(reference: Column, candidate: Column) -> Column:
-    return _score(lambda a, b: bleu_score(list(a), list(b)), terms(clean_text(reference)), terms(clean_text(candidate)))
+    return _score(lambda a, b: bleu_score(list(a), list(b)), word_tokens(reference), word_tokens(candidate))
 
 
 def rouge_l(reference: Column, candidate: Column, stemmed: bool = True) -> Column:

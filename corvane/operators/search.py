@@ -1,29 +1,110 @@
-"""Batch retrieval: dense, sparse and fused top-k, and reranking. Queries are a table; each operator answers all of them at once."""
+"""Batch retrieval: dense, sparse and fused top-k, and reranking. Queries are a table; each operator answers all of them at once.
+
+Ids are of whatever type the tables have. Sparse search reads texts once: the counts of the queries' terms, with one
+row for each document's length, are kept (``persist``) and all statistics, scores and reranking are taken from them. A
+stored index (``corvane.sources.index``) has these counts already.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import clean_text, terms
-from corvane.operators.common import small_side, top_per
+from corvane.operators.common import is_small, small_side, top_per
 
 K1, B, RRF_K, TOP_K, CANDIDATES, RERANKED = 1.2, 0.75, 60, 10, 20, 3
-#: Rows and queries in one block of the dense search.
-BLOCK = 20_000
+#: Rows and queries in one block of the dense search, and the queries (rows and bytes of vectors) that are sent to all tasks instead.
+BLOCK, SENT_QUERIES, SENT_BYTES = 20_000, 20_000, 64_000_000
+#: Stands behind the terms of each document; no term is a space.
+MARK = " "
+
+
+def unit_vectors(keys: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Keys and unit vectors by length; null, empty and zero vectors are left out."""
+    out: dict[int, tuple[list, list]] = {}
+    for i, v in zip(keys, vectors):
+        if v is not None and len(v) and (norm := float(np.sqrt(np.dot(v, v)))) > 0:
+            kept = out.setdefault(len(v), ([], []))
+            kept[0].append(i)
+            kept[1].append(np.asarray(v, np.float64) / norm)
+    return {n: (np.array(a), np.array(b)) for n, (a, b) in out.items()}
+
+
+def batch_vectors(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of an Arrow column of lists: (ids, unit vectors) for each length, without a Python object for each number."""
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    keys, flat = ids.to_numpy(zero_copy_only=False), lists.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(lengths) - lengths
+    for n in np.unique(lengths[lengths > 0]):
+        some = np.flatnonzero(lengths == n)
+        v = flat[starts[some][:, None] + np.arange(n)]
+        norms = np.sqrt((v * v).sum(axis=1))
+        good = norms > 0
+        if good.any():
+            yield keys[some[good]], v[good] / norms[good][:, None]
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row by falling score (to nine decimals) and rising id. ids: a row for each row of scores."""
+    order = np.lexsort((ids, -np.round(scores, 9)), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
 def dense_topk(queries: DataFrame, rows: DataFrame, k: int = TOP_K, block: int = BLOCK) -> DataFrame:
     """(qid, id, score, rank): by cosine, exactly. queries: (qid, vec); rows: (id, vec).
 
-    Both sides are dealt into blocks of about ``block`` rows, and each pair of blocks is one matrix product that leaves
-    k rows a query; nothing is broadcast, and no task holds more than two blocks. Null, empty and zero vectors and
-    vectors of another length than their block's find nothing.
+    Queries of a checked size go to all tasks as one matrix, and each task keeps its k best rows a query: no row
+    is shuffled. Beyond that size both sides are dealt into blocks (``dense_blocks``). Null, empty and zero vectors and
+    vectors of another length than the query's find nothing.
     """
+    asked = queries.select("qid", F.col("vec").cast("array<double>").alias("vec"))
+    n, held = asked.limit(SENT_QUERIES + 1).agg(F.count("*"), F.sum(8 * F.size("vec"))).first()
+    if n > SENT_QUERIES or (held or 0) > SENT_BYTES:
+        return dense_blocks(queries, rows, k, block)
+    sent = asked.toArrow()
+    matrices = [(q, v) for q, v in batch_vectors(*(sent.column(c).combine_chunks() for c in ("qid", "vec")))]
+    shared = rows.sparkSession.sparkContext.broadcast({v.shape[1]: (q, v) for q, v in matrices})
+    id_type, qid_type = rows.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for ids, vectors in batch_vectors(batch.column(0), batch.column(1)):
+                n = vectors.shape[1]
+                if n not in shared.value:
+                    continue
+                ids = ids.astype(str) if ids.dtype == object else ids
+                by_id = np.argsort(ids, kind="stable")
+                ids, vectors, asked = ids[by_id], vectors[by_id], shared.value[n][1]
+                parts = []
+                for at in range(0, len(asked), 256):
+                    scores = asked[at : at + 256] @ vectors.T
+                    order = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+                    parts.append((np.take_along_axis(scores, order, 1), ids[order]))
+                new = tuple(np.concatenate(x) for x in zip(*parts))
+                best[n] = best_of(*(np.concatenate(x, axis=1) for x in zip(best[n], new)), k) if n in best else new
+        for n, (scores, ids) in best.items():
+            qids = np.repeat(shared.value[n][0], ids.shape[1])
+            yield pa.record_batch([pa.array(qids.tolist(), kinds[0]), pa.array(ids.ravel().tolist(), kinds[1]), pa.array(scores.ravel())], names=["qid", "id", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(df.schema[c].dataType) for df, c in ((queries, "qid"), (rows, "id"))]
+    found = rows.select("id", "vec").mapInArrow(search, f"qid {qid_type}, id {id_type}, score double")
+    return top_per(found, "qid", F.col("score"), "id", k)
+
+
+def dense_blocks(queries: DataFrame, rows: DataFrame, k: int = TOP_K, block: int = BLOCK) -> DataFrame:
+    """As ``dense_topk``, for any number of queries: both sides are dealt into blocks of about ``block`` rows, and each pair of
+    blocks is one matrix product that leaves k rows a query; nothing is broadcast, and no task holds more than two blocks."""
     n_rows, n_queries = (max(1, -(-x.count() // block)) for x in (rows, queries))
 
     def dealt(df: DataFrame, key: str, mine: int, other: int, own: str, others: str) -> DataFrame:
@@ -31,20 +112,11 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int = TOP_K, block: int =
         return df.select(F.col(key).alias(key), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64(key), F.lit(mine)).cast("int").alias(own), every.alias(others))
 
     left, right = dealt(rows, "id", n_rows, n_queries, "rb", "qb"), dealt(queries, "qid", n_queries, n_rows, "qb", "rb")
-
-    def usable(df: pd.DataFrame, key: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Keys and unit vectors by length."""
-        out: dict[int, tuple[list, list]] = {}
-        for i, v in zip(df[key], df["vec"]):
-            if v is not None and len(v) and (norm := float(np.sqrt(np.dot(v, v)))) > 0:
-                kept = out.setdefault(len(v), ([], []))
-                kept[0].append(i)
-                kept[1].append(np.asarray(v, np.float64) / norm)
-        return {n: (np.array(a), np.array(b)) for n, (a, b) in out.items()}
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        parts, own = [], usable(a, "id")
-        for n, (qids, asked) in usable(b, "qid").items():
+        parts, own = [], unit_vectors(a["id"], a["vec"])
+        for n, (qids, asked) in unit_vectors(b["qid"], b["vec"]).items():
             if n not in own:
                 continue
             ids, vectors = own[n]
@@ -54,9 +126,9 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int = TOP_K, block: int =
                 scores = asked[at : at + 256] @ vectors.T
                 order = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
                 parts.append(pd.DataFrame({"qid": np.repeat(qids[at : at + 256], order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
-        return pd.concat(parts) if parts else pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        return pd.concat(parts) if parts else pd.DataFrame({"qid": a["id"][:0], "id": a["id"][:0], "score": pd.Series(dtype="float64")})
 
-    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(best, "qid long, id long, score double")
+    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(best, schema)
     return top_per(found, "qid", F.col("score"), "id", k)
 
 
@@ -65,40 +137,61 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(terms(clean_text(F.col("query"))))).alias("term"))
 
 
-def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl) of docs (id, text); ``only`` (term) restricts the terms before anything is shuffled."""
+def term_counts(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl) of docs (id, text), and a row with the mark for every document; ``only`` (term, marked for broadcast if it is small) restricts the terms before anything is shuffled."""
     split = docs.select("id", terms(clean_text(F.col("text"))).alias("w"))
-    tokens = split.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    tokens = split.select("id", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(MARK)))).alias("term"))
     if only is not None:
-        tokens = tokens.join(small_side(only), "term", "left_semi")
+        tokens = tokens.join(only, "term", "left_semi")
     return tokens.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def collection_stats(docs: DataFrame) -> DataFrame:
-    """One row: number of documents and mean length in terms."""
-    return docs.select(F.size(terms(clean_text(F.col("text")))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+@dataclass
+class TermIndex:
+    """What sparse search reads: counts (id, term, tf, dl) of the terms asked for, their documents (term, df), and the collection's size and mean length."""
 
+    asked: DataFrame
+    counts: DataFrame
+    df: DataFrame
+    n_docs: int
+    avgdl: float
+    small: bool
 
-def idf(entries: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, idf) of the postings' terms."""
-    n = stats.select("n_docs").scalar()
-    return entries.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    def near(self, df: DataFrame) -> DataFrame:
+        """df, which has no more rows than there are queries' terms, marked for broadcast if those were found to be few."""
+        return F.broadcast(df) if self.small else df
 
+    def idf(self) -> DataFrame:
+        """(term, idf)."""
+        return self.df.select("term", F.log(1 + (self.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
-def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(qid, id, score, rank): by BM25 over cleaned terms. queries: (qid, query); docs: (id, text).
 
-    Only the queries' terms are counted. Documents without any of a query's terms aren't found.
-    """
+def text_index(queries: DataFrame, docs: DataFrame) -> TermIndex:
+    """The term index of docs (id, text) for queries (qid, query): one pass over the texts, kept for all that reads it (spark.catalog.clearCache() lets it go)."""
     asked = query_terms(queries)
-    entries, stats = postings(docs, asked.select("term").distinct()), collection_stats(docs)
-    weighted = entries.join(small_side(idf(entries, stats)), "term")
-    tf, avgdl = F.col("tf"), stats.select("avgdl").scalar()
-    weights = weighted.select("id", "term", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))).alias("weight"))
-    scored = weights.join(small_side(asked), "term").groupBy("qid", "id").agg(F.sum("weight").alias("score"))
+    wanted = asked.select("term").distinct()
+    small = is_small(asked)
+    only = wanted.unionByName(docs.sparkSession.createDataFrame([(MARK,)], "term string"))
+    kept = term_counts(docs, F.broadcast(only) if small else only).persist(StorageLevel.MEMORY_AND_DISK)
+    n_docs, avgdl = kept.filter(F.col("term") == MARK).agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).first()
+    counts = kept.filter(F.col("term") != MARK)
+    return TermIndex(asked, counts, counts.groupBy("term").agg(F.count("*").alias("df")), n_docs or 0, avgdl or 0.0, small)
+
+
+def sparse_search(index: TermIndex, k: int = TOP_K) -> DataFrame:
+    """(qid, id, score, rank): by BM25. Documents without any of a query's terms aren't found."""
+    weighted = index.counts.join(index.near(index.idf()), "term")
+    tf = F.col("tf")
+    weights = weighted.select("id", "term", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))).alias("weight"))
+    scored = weights.join(index.near(index.asked), "term").groupBy("qid", "id").agg(F.sum("weight").alias("score"))
     return top_per(scored, "qid", F.col("score"), "id", k)
 
 
+def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(qid, id, score, rank): by BM25 over cleaned terms. queries: (qid, query); docs: (id, text)."""
+    return sparse_search(text_index(queries, docs), k)
+
+
 def rank_fusion(*lists: DataFrame, k: int = TOP_K, constant: int = RRF_K) -> DataFrame:
     """(qid, id, score, rank): reciprocal rank fusion of ranked lists (qid, id, rank)."""
     union = lists[0].select("qid", "id", "rank")
@@ -110,24 +203,25 @@ def rank_fusion(*lists: DataFrame, k: int = TOP_K, constant: int = RRF_K) -> Dat
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
     """Fused top-k. queries: (qid, query, vec); docs: (id, text); vectors: (id, vec)."""
-    return rank_fusion(dense_topk(queries.select("qid", "vec"), vectors, k), sparse_topk(queries, docs, k), k=k)
+    return fused(text_index(queries, docs), queries, vectors, k)
 
 
-def coverage_scores(queries: DataFrame, candidates: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, id, score): the share of the query's idf that the document's terms cover; the default pair scorer."""
-    asked = query_terms(queries)
-    entries, stats = postings(docs, asked.select("term").distinct()), collection_stats(docs)
-    weights = idf(entries, stats)
-    wanted = candidates.select("qid", "id").join(asked, "qid").join(small_side(weights), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
-    held = entries.select("id", "term", F.lit(1).alias("has"))
+def fused(index: TermIndex, queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
+    return rank_fusion(dense_topk(queries.select("qid", "vec"), vectors, k), sparse_search(index, k), k=k)
+
+
+def coverage_scores(index: TermIndex, candidates: DataFrame) -> DataFrame:
+    """(qid, id, score): the share of the query's idf that the document's terms cover; the default pair scorer. Only the candidates' terms are looked up."""
+    wanted = candidates.select("qid", "id").join(index.near(index.asked), "qid").join(index.near(index.idf()), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    held = index.counts.select("id", "term", F.lit(1).alias("has"))
     total = F.sum("idf")
     return wanted.join(held, ["id", "term"], "left").groupBy("qid", "id").agg(F.when(total > 0, F.sum(F.when(F.col("has") == 1, F.col("idf")).otherwise(0.0)) / total).otherwise(0.0).alias("score"))
 
 
-def rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, n: int = RERANKED, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
-    """(qid, id, score, rank): the n best candidates (qid, id) by a pair scorer of (query, text), or by idf coverage. No candidates, no rows."""
+def rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, n: int = RERANKED, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None, index: TermIndex | None = None) -> DataFrame:
+    """(qid, id, score, rank): the n best candidates (qid, id) by a pair scorer of (query, text), or by idf coverage (from ``index`` if there is one). No candidates, no rows."""
     if scorer is None:
-        scored = coverage_scores(queries, candidates, docs)
+        scored = coverage_scores(index or text_index(queries, docs), candidates)
     else:
         score = F.pandas_udf(scorer, "double")
         pairs = candidates.select("qid", "id").join(small_side(queries.select("qid", "query")), "qid").join(docs.select("id", "text"), "id")
@@ -137,4 +231,5 @@ def rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, n: int =
 
 def hybrid_rerank(queries: DataFrame, docs: DataFrame, vectors: DataFrame, candidates: int = CANDIDATES, n: int = RERANKED, scorer=None) -> DataFrame:
     """Fused candidates, reranked."""
-    return rerank(queries, hybrid_search(queries, docs, vectors, candidates), docs, n, scorer)
+    index = text_index(queries, docs)
+    return rerank(queries, fused(index, queries, vectors, candidates), docs, n, scorer, index)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corvane.operators.answer import DONT_KNOW, PROMPT
-from corvane.operators.profile import stop_words
+from corvane.operators.profile import STOP_WORDS
 
 
 def cleaned(x: str) -> str:
@@ -46,6 +46,10 @@ turns AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead
 pairs AS (SELECT conv_id, turn, coalesce(next_text, '') AS ref, coalesce(text, '') AS cand FROM turns WHERE role = 'user' AND next_role = 'assistant')"""
 
 
+def tokens(x: str) -> str:
+    return rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\x00-\x20\x{{7F}}-\x{{A0}}]')"
+
+
 def grams(n: int) -> str:
     def of(side: str) -> str:
         return f"(SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len({side}) - {n - 1} + 1), lambda i: array_to_string({side}[i:i + {n - 1}], ' '))) AS g FROM tok) GROUP BY ALL)"
@@ -62,9 +66,55 @@ def quoted(x: str) -> str:
 
 
 _PROMPT = PROMPT.split("%s")
-COUNTS = f"words AS (SELECT unnest({WORDS}) AS word FROM documents), counts AS (SELECT word, count(*) AS frequency FROM words WHERE word NOT IN ({', '.join(map(quoted, stop_words()))}) GROUP BY word)"
+COUNTS = f"words AS (SELECT unnest({WORDS}) AS word FROM documents), counts AS (SELECT word, count(*) AS frequency FROM words WHERE word NOT IN ({', '.join(map(quoted, STOP_WORDS))}) GROUP BY word)"
+
+_HITS = " UNION ALL ".join(grams(n) for n in range(1, 5))
+BLEU = f"""
+tok AS (SELECT conv_id, turn, {tokens("ref")} AS rw, {tokens("cand")} AS cw FROM pairs),
+hits AS ({_HITS}),
+each AS (SELECT t.conv_id, t.turn, o.k AS k, len(rw) AS r, len(cw) AS c, coalesce(h.hits, 0) AS hits, greatest(1, len(cw) - o.k + 1) AS total
+         FROM tok t CROSS JOIN range(1, 5) AS o(k) LEFT JOIN hits h ON h.conv_id = t.conv_id AND h.turn = t.turn AND h.k = o.k),
+counted AS (SELECT *, sum(CASE WHEN hits = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY k) AS i FROM each),
+p AS (SELECT *, CASE WHEN hits > 0 THEN hits / total WHEN c > 1 THEN ln(c) / (2 ** i * 5) / total END AS p FROM counted),
+bleu AS (SELECT conv_id, turn, CASE WHEN min(r) = 0 OR min(c) = 0 OR max(CASE WHEN k = 1 THEN hits END) = 0 THEN 0.0
+         ELSE round(least(1.0, exp(1 - min(r)::DOUBLE / greatest(min(c), 1))) * exp(sum(coalesce(ln(p), 0)) / 4), 6) END AS bleu FROM p GROUP BY conv_id, turn)"""
+#: The longest common subsequence by rows of the usual table: a word of the candidate is where it first is in the reference, 0 if nowhere.
+ROUGE = """
+rt AS (SELECT conv_id, turn, regexp_extract_all(lower(ref), '[a-z0-9]+') AS a, regexp_extract_all(lower(cand), '[a-z0-9]+') AS b FROM pairs),
+numbered AS (SELECT conv_id, turn, len(a) AS na, len(b) AS nb, list_transform(a, lambda t: list_position(a, t)::BIGINT) AS ai,
+             list_transform(b, lambda t: [coalesce(list_position(a, t), 0)::BIGINT]) AS bi FROM rt),
+common AS (SELECT conv_id, turn, na, nb, list_reduce(list_prepend(list_transform(range(0, na + 1), lambda x: 0::BIGINT), bi), lambda above, y:
+             list_reduce(list_prepend([0::BIGINT], list_transform(range(1, na + 1), lambda j: [j])), lambda done, j:
+               list_append(done, CASE WHEN ai[j[1]] = y[1] THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], done[j[1]]) END)))[na + 1] AS n FROM numbered),
+rouge AS (SELECT conv_id, turn, CASE WHEN n > 0 THEN round(2.0::DOUBLE * n / (na + nb), 6) ELSE 0.0 END AS rouge_l FROM common)"""
+BERT = """
+bt AS (SELECT conv_id, turn, regexp_extract_all(lower(ref), '[a-z0-9]+') AS a, regexp_extract_all(lower(cand), '[a-z0-9]+') AS b FROM pairs),
+bw AS (SELECT conv_id, turn, 1 AS side, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(a) AS w FROM bt) GROUP BY ALL
+       UNION ALL SELECT conv_id, turn, 2, w, count(*) FROM (SELECT conv_id, turn, unnest(b) AS w FROM bt) GROUP BY ALL),
+grams AS (SELECT w, unnest(list_transform(range(1, length(w) + 1), lambda i: ('<' || w || '>')[i:i + 2])) AS g FROM (SELECT DISTINCT w FROM bw)),
+hashed AS (SELECT w, ('0x' || md5(g)[1:8])::BIGINT AS h FROM grams),
+places AS (SELECT w, h % 64 AS d, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM hashed GROUP BY ALL),
+norms AS (SELECT w, sqrt(sum(v * v)) AS norm FROM places GROUP BY w),
+vectors AS (SELECT w, list(coalesce(v, 0) / CASE WHEN norm > 0 THEN norm ELSE 1 END ORDER BY d) AS v FROM norms CROSS JOIN range(64) AS o(d) LEFT JOIN places USING (w, d) GROUP BY w),
+cosines AS (SELECT x.conv_id, x.turn, x.w AS aw, y.w AS bw, any_value(x.n) AS an, any_value(y.n) AS bn, any_value(list_inner_product(vx.v, vy.v)) AS c
+            FROM bw x JOIN bw y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.side = 1 AND y.side = 2 JOIN vectors vx ON vx.w = x.w JOIN vectors vy ON vy.w = y.w GROUP BY ALL),
+recall AS (SELECT conv_id, turn, sum(n * c) / sum(n) AS r FROM (SELECT conv_id, turn, aw, any_value(an) AS n, max(c) AS c FROM cosines GROUP BY ALL) GROUP BY ALL),
+precise AS (SELECT conv_id, turn, sum(n * c) / sum(n) AS p FROM (SELECT conv_id, turn, bw, any_value(bn) AS n, max(c) AS c FROM cosines GROUP BY ALL) GROUP BY ALL),
+bert AS (SELECT conv_id, turn, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 6) ELSE 0.0 END AS bertscore_f1 FROM pairs LEFT JOIN recall USING (conv_id, turn) LEFT JOIN precise USING (conv_id, turn))"""
+EVAL = f"""
+{PAIRS}, {BLEU}, {ROUGE}, {BERT},
+er AS (SELECT conv_id, turn, ref AS Reference_Answer, cand AS Generated_Answer, CASE WHEN conv_id % 5 = 0 THEN 'Error' ELSE 'Success' END AS Status,
+       CASE WHEN ref = '' OR cand = '' OR conv_id % 5 = 0 THEN 0.0 ELSE bleu END AS BLEU_Score, CASE WHEN ref = '' OR cand = '' OR conv_id % 5 = 0 THEN 0.0 ELSE rouge_l END AS ROUGE_L_F1,
+       CASE WHEN ref = '' OR cand = '' OR conv_id % 5 = 0 THEN 0.0 ELSE bertscore_f1 END AS BERTScore_F1 FROM pairs JOIN bleu USING (conv_id, turn) JOIN rouge USING (conv_id, turn) JOIN bert USING (conv_id, turn))"""
 
 ORACLES: dict[str, str] = {
+    "rouge_l_unstemmed": f"WITH {PAIRS}, {ROUGE} SELECT conv_id, turn, rouge_l FROM rouge",
+    "bertscore_f1": f"WITH {PAIRS}, {BERT} SELECT conv_id, turn, bertscore_f1 FROM bert",
+    "eval_rows": f"WITH {EVAL} SELECT * FROM er",
+    "eval_summary": f"WITH {EVAL} SELECT count(*) AS total, count(*) FILTER (Status = 'Success') AS successes, {', '.join(f"round(avg({c}) FILTER (Status = 'Success'), 5) AS {c}" for c in ('BLEU_Score', 'ROUGE_L_F1', 'BERTScore_F1'))} FROM er",
+    "duplicate_names": f"""
+        WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') AS path, lower({NAME.format(n=1)}) AS name, lower({NAME.format(n=2)}) AS ext FROM pages)
+        SELECT name, count(*)::INT AS n, string_agg(ext || ' ' || path, chr(10) ORDER BY ext, path) AS files FROM p GROUP BY name HAVING count(*) > 1""",
     "clean_text": f"SELECT doc_id, {cleaned('text')} AS cleaned FROM documents",
     "page_concat": "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS page_content, count(*) AS num_pages FROM conversations WHERE text <> '' GROUP BY conv_id",
     "change_detection": f"WITH {FILES} SELECT file_path, size, status FROM status",
@@ -95,14 +145,5 @@ ORACLES: dict[str, str] = {
     "answer_top1": f"WITH {BM25} SELECT b.item_id AS qid, coalesce(d.text, {quoted(DONT_KNOW)}) AS answer FROM benchmark b LEFT JOIN sparse s ON s.qid = b.item_id AND s.rank = 1 LEFT JOIN documents d ON d.doc_id = s.id",
     "format_docs": f"WITH {BM25} SELECT qid, rank::INT AS rank, '' AS doc_name, 'doc/' || id AS file_path, id::VARCHAR AS display_name, round(score, 6) AS score FROM sparse WHERE rank <= 10",
     "render_prompt": f"WITH {BM25}, ctx AS (SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM sparse JOIN documents ON doc_id = id WHERE rank <= 10 GROUP BY qid) SELECT item_id AS qid, {quoted(_PROMPT[0])} || coalesce(context, '') || {quoted(_PROMPT[1])} || coalesce(text, '') || {quoted(_PROMPT[2])} AS prompt FROM benchmark LEFT JOIN ctx ON qid = item_id",
-    "bleu": f"""
-        WITH {PAIRS}, tok AS (SELECT conv_id, turn, {split("ref")} AS rw, {split("cand")} AS cw FROM pairs),
-        hits AS ({" UNION ALL ".join(grams(n) for n in range(1, 5))}),
-        each AS (SELECT t.conv_id, t.turn, o.k AS k, len(rw) AS r, len(cw) AS c, coalesce(h.hits, 0) AS hits, greatest(1, len(cw) - o.k + 1) AS total
-                 FROM tok t CROSS JOIN range(1, 5) AS o(k) LEFT JOIN hits h ON h.conv_id = t.conv_id AND h.turn = t.turn AND h.k = o.k),
-        counted AS (SELECT *, sum(CASE WHEN hits = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY k) AS i FROM each),
-        p AS (SELECT *, CASE WHEN hits > 0 THEN hits / total WHEN c > 1 THEN ln(c) / (2 ** i * 5) / total END AS p FROM counted)
-        SELECT conv_id, turn, CASE WHEN min(r) = 0 OR min(c) = 0 OR max(CASE WHEN k = 1 THEN hits END) = 0 THEN 0.0
-               ELSE round(least(1.0, exp(1 - min(r)::DOUBLE / greatest(min(c), 1))) * exp(sum(coalesce(ln(p), 0)) / 4), 6) END AS bleu
-        FROM p GROUP BY conv_id, turn""",
+    "bleu": f"WITH {PAIRS}, {BLEU} SELECT conv_id, turn, bleu FROM bleu",
 }

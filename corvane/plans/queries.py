@@ -158,17 +158,33 @@ def rouge_l(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.rouge_l(F.col("Reference_Answer"), F.col("Generated_Answer")), 6).alias("rouge_l"))
 
 
+def rouge_l_unstemmed(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.rouge_l(F.col("Reference_Answer"), F.col("Generated_Answer"), False), 6).alias("rouge_l"))
+
+
 def bertscore_f1(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.bertscore_f1(F.col("Reference_Answer"), F.col("Generated_Answer")), 6).alias("bertscore_f1"))
 
 
+SCORES = ("BLEU_Score", "ROUGE_L_F1", "BERTScore_F1")
+
+
 def eval_rows(spark, sf_dir):
-    return evaluate.score_rows(_pairs(spark, sf_dir))
+    """Scored pairs, ROUGE-L without stems, as SQL has no stemmer; every fifth conversation stands for a failed call."""
+    rows = _pairs(spark, sf_dir).withColumn("Status", F.when(F.col("conv_id") % 5 == 0, "Error").otherwise("Success"))
+    return evaluate.score_rows(rows, False).select("conv_id", "turn", "Reference_Answer", "Generated_Answer", "Status", *(F.round(c, 6).alias(c) for c in SCORES))
 
 
 def eval_summary(spark, sf_dir):
-    out = evaluate.summary(evaluate.score_rows(_pairs(spark, sf_dir)))
-    return out.select("total", "successes", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
+    out = evaluate.summary(eval_rows(spark, sf_dir))
+    return out.select("total", "successes", *(F.round(c, 5).alias(c) for c in SCORES))
+
+
+def duplicate_names(spark, sf_dir):
+    """Pages whose urls end in one name: how many, and their extensions and paths in order, as lines."""
+    files = table(spark, sf_dir, "pages").select(_path_of(F.col("url")).alias("path"))
+    lines = F.array_join(F.transform("files", lambda f: F.concat(f["ext"], F.lit(" "), f["path"])), "\n")
+    return profile.duplicate_names(files).select("name", F.size("files").alias("n"), lines.alias("files"))
 
 
 def chunk_documents(spark, sf_dir):
@@ -176,4 +192,4 @@ def chunk_documents(spark, sf_dir):
     return chunk.chunk_documents(docs, "doc_id", "text")
 
 
-ALL = (clean_text, page_concat, change_detection, deleted_files, index_replace_by_file, corpus_stats, word_freq_top20, duplicate_groups, classify_extension, display_name, dense_topk, sparse_topk, hybrid_rrf, hybrid_rerank, answer_top1, format_docs, render_prompt, query_responses, bleu, rouge_l, bertscore_f1, eval_rows, eval_summary, chunk_documents)
+ALL = (clean_text, page_concat, change_detection, deleted_files, index_replace_by_file, corpus_stats, word_freq_top20, duplicate_groups, duplicate_names, classify_extension, display_name, dense_topk, sparse_topk, hybrid_rrf, hybrid_rerank, answer_top1, format_docs, render_prompt, query_responses, bleu, rouge_l, rouge_l_unstemmed, bertscore_f1, eval_rows, eval_summary, chunk_documents)

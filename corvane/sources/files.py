@@ -76,3 +76,8 @@ def golden_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+
+
+def write_word_frequencies(counts: DataFrame, path: str) -> None:
+    """(word, frequency) as a CSV with the header Word,Frequency, in one file as there are few."""
+    write_csv(counts.select(F.col("word").alias("Word"), F.col("frequency").alias("Frequency")).coalesce(1), path)

@@ -1,10 +1,14 @@
+import json
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corvane.operators import changes
+from corvane.operators import answer, changes, search
+from corvane.plans import serve
 from corvane.sources import files
-from corvane.sources.index import DocumentIndex, ingest
+from corvane.sources.index import DocumentIndex, hybrid_search, ingest, sparse_candidates
 from corvane.streaming.new_files import append_new
 
 
@@ -41,7 +45,8 @@ def test_ingest_life(spark, tmp_path):
     put(folder, "b.pdf", "word " * 300, 1e9)
     put(folder, "bad.pdf", b"\xff\xfe", 1e9)
     assert index.create_if_missing() and not index.create_if_missing()
-    run = lambda **k: ingest(spark, f"file://{folder}", index, **k)
+    shown = ("new", "modified", "same", "deleted", "failed")
+    run = lambda **k: {x: n for x, n in ingest(spark, f"file://{folder}", index, **k).items() if x in shown}
     assert run() == {"new": 3, "modified": 0, "same": 0, "deleted": 0, "failed": 1}
     chunks = {(r["doc_name"], r["chunk_ix"]): r for r in index.chunks().collect()}
     assert chunks["a.pdf", 0]["page_content"] == "first page second page" and chunks["a.pdf", 0]["num_pages"] == 3 and chunks["a.pdf", 0]["date"] == "2001-09-09"
@@ -57,6 +62,7 @@ def test_ingest_life(spark, tmp_path):
     assert run(purge_deleted=False)["deleted"] == 1 and {r["doc_name"] for r in index.chunks().collect()} == {"a.pdf", "c.pdf"}
     put(folder, "d.pdf", "more", 2e9)
     run()
+    assert index.counts["chunks"] == index.counts["vectors"] == index.chunks().count() == 3 and {len(r["dense"]) for r in index.chunks().collect()} == {384}
     assert index.vacuum() > 3 and index.version()
     index.recreate()
     assert index.chunks().count() == 0 and index.drop() and index.version() is None
@@ -84,3 +90,81 @@ def test_stream_of_new_files(spark, tmp_path):
 def test_missing_columns_are_named(spark):
     with pytest.raises(Exception):
         changes.change_detection(spark.range(1), spark.range(1)).collect()
+
+
+TEXTS = {"a": "The red fox sleeps in the barn. It is old.", "b": "A blue whale swims. The whale sings at night.", "c": "Nothing of note is written here."}
+
+
+def test_search_over_the_index(spark, tmp_path):
+    folder, index = tmp_path / "in", DocumentIndex(spark, f"file://{tmp_path}/index")
+    for name, text in TEXTS.items():
+        put(folder, f"{name}.pdf", text, 1e9)
+    assert ingest(spark, f"file://{folder}", index)["vectors"] == 3
+    queries = spark.createDataFrame([(1, "old red fox"), (2, "singing whale at night"), (3, ""), (4, "zebra")], "qid long, query string")
+    for mode in serve.MODES:
+        found = serve.retrieve(queries, index, mode).collect()
+        top = {r["qid"]: (r["doc_name"], r["page_content"]) for r in found if r["rank"] == 1}
+        assert top[1] == ("a.pdf", TEXTS["a"].lower()) and top[2][0] == "b.pdf", mode
+        answers = {r["qid"]: json.loads(r["response"]) for r in serve.respond(queries, index, mode).collect()}
+        assert set(answers) == {1, 2, 3, 4} and answers[1]["answer"] == TEXTS["a"].lower() and answers[2]["source_documents"][0]["metadata"]["file_path"].endswith("/b.pdf")
+    assert serve.retrieve(queries, index, "other") is None and serve.respond(queries, index, "other") is None
+    # the same scores as over bare tables
+    docs = index.chunks().select(F.col("chunk_id").alias("id"), F.col("page_content").alias("text"))
+    of = lambda df: {(r["qid"], r["id"], round(r["score"], 9)) for r in df.collect()}
+    assert of(search.sparse_search(index.term_index(queries))) == of(search.sparse_topk(queries, docs)) != set()
+    # what stays is carried over, what is new comes in, what is gone goes
+    put(folder, "d.pdf", "A zebra.", 2e9)
+    (folder / "b.pdf").unlink()
+    ingest(spark, f"file://{folder}", index)
+    docs = index.chunks().select(F.col("chunk_id").alias("id"), F.col("page_content").alias("text"))
+    assert of(search.sparse_search(index.term_index(queries))) == of(search.sparse_topk(queries, docs))
+    assert {r["doc_name"] for r in serve.retrieve(queries.filter("qid = 4"), index).filter("rank = 1").collect()} == {"d.pdf"}
+    empty = DocumentIndex(spark, f"file://{tmp_path}/none")
+    assert serve.retrieve(queries, empty).count() == 0
+    assert {json.loads(r["response"])["answer"] for r in serve.respond(queries, empty).collect()} == {answer.DONT_KNOW}
+
+
+def test_encoders_are_plug_ins(spark, tmp_path):
+    folder, index = tmp_path / "in", DocumentIndex(spark, f"file://{tmp_path}/index")
+    for name, text in TEXTS.items():
+        put(folder, f"{name}.pdf", text, 1e9)
+
+    def letters(texts):
+        return np.array([[t.count(c) for c in "abcdefghij"] for t in texts], float)
+
+    def weights(text):
+        if "note" in text:
+            raise RuntimeError("no")
+        return {w.strip("."): 2.0 for w in text.split() if len(w) > 3}
+
+    assert ingest(spark, f"file://{folder}", index, dense_encoder=letters, sparse_encoder=weights)["chunks"] == 3
+    assert {len(r["dense"]) for r in index.chunks().collect()} == {10}
+    queries = spark.createDataFrame([(1, "whale night"), (2, "a note")], "qid long, query string")
+    got = sparse_candidates(queries, index, 5, weights).collect()
+    assert [(r["qid"], r["score"]) for r in got] == [(1, 8.0)]
+    assert hybrid_search(queries, index, 2, letters, weights).count() == 4
+    with pytest.raises(Exception):
+        ingest(spark, f"file://{folder}", DocumentIndex(spark, f"file://{tmp_path}/bad"), dense_encoder=lambda texts: np.zeros((0, 3)))
+
+
+def test_golden_questions_end_to_end(spark, tmp_path):
+    folder, index = tmp_path / "in", DocumentIndex(spark, f"file://{tmp_path}/index")
+    for name, text in TEXTS.items():
+        put(folder, f"{name}.pdf", text, 1e9)
+    ingest(spark, f"file://{folder}", index)
+    golden = spark.createDataFrame([("Who is the old red fox?", TEXTS["a"].lower()), ("whale at night", None), ("whale at night", None)], "Question string, Answer string")
+    for mode in serve.MODES:
+        scored, summary = serve.evaluate_golden(golden, index, mode, f"file://{tmp_path}/out-{mode}")
+        rows = {r["Question"]: r for r in scored.collect()}
+        assert rows["Who is the old red fox?"]["BLEU_Score"] == pytest.approx(1) and rows["whale at night"]["ROUGE_L_F1"] == 0
+        one = summary.first()
+        assert (one["total"], one["successes"]) == (3, 3) and one["Latency_ms"] > 0 and one["Peak_Script_Memory_MB"] > 1
+        assert "Generated_Answer" in spark.read.option("header", True).csv(f"file://{tmp_path}/out-{mode}").columns
+    assert serve.evaluate_golden(golden, index, "other") is None
+
+
+def test_word_frequencies_are_written_with_their_header(spark, tmp_path):
+    counts = spark.createDataFrame([("a", 3), ("b", 1)], "word string, frequency long")
+    files.write_word_frequencies(counts, f"file://{tmp_path}/out")
+    (part,) = (tmp_path / "out").glob("part-*.csv")
+    assert part.read_text().splitlines() == ["Word,Frequency", "a,3", "b,1"]

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from corvane.operators import answer, profile, search
 
@@ -15,9 +16,9 @@ def test_dense_in_blocks_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "id long, vec array<double>")
     asked = df.filter("id < 5 or id = 10 or id >= 100").withColumnRenamed("id", "qid")
     unit = v / np.linalg.norm(v, axis=1)[:, None]
-    for block in (7, 1000):
+    for found in (search.dense_topk(asked, df, 6), search.dense_blocks(asked, df, 6, 7), search.dense_blocks(asked, df, 6, 1000)):
         got = {}
-        for r in search.dense_topk(asked, df, 6, block).collect():
+        for r in found.collect():
             got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
         assert set(got) == {0, 1, 2, 3, 4, 10, 103}
         for q in (0, 1, 2, 3, 4, 10):
@@ -26,6 +27,22 @@ def test_dense_in_blocks_equals_brute_force(spark):
         assert got[103] == [(1, 103)]
 
 
+def test_dense_with_ids_of_any_type_and_many_queries(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(40, 5))
+    v[7] = v[3]
+    df = spark.createDataFrame([(f"c{i:02d}", v[i].astype("float32").tolist()) for i in range(40)] + [("x", None), ("y", [float("nan")] * 5)], "id string, vec array<float>")
+    asked = df.filter("id < 'c06'").withColumnRenamed("id", "qid")
+    unit = v.astype("float32").astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = {(f"c{q:02d}", k + 1, f"c{i:02d}") for q in range(6) for k, i in enumerate(sorted(range(40), key=lambda i: (-round(float(unit[q] @ unit[i]), 9), i))[:4])}
+    of = lambda out: {(r["qid"], r["rank"], r["id"]) for r in out.collect()}
+    assert of(search.dense_topk(asked, df.repartition(3), 4)) == want
+    monkeypatch.setattr(search, "SENT_QUERIES", 2)  # too many to send: in blocks
+    assert of(search.dense_topk(asked, df, 4)) == want
+    assert search.dense_topk(asked.limit(0), df).count() == 0 and search.dense_topk(asked, df.limit(0)).count() == 0
+
+
 DOCS = [(1, "the red fox"), (2, "the blue fox fox"), (3, "nothing else"), (4, None), (5, "the the the")]
 
 
@@ -82,3 +99,26 @@ def test_profile(spark):
     assert got == {"a": [(".doc", "y/a.doc"), (".pdf", "x/A.pdf")], "b": [(".doc", "y/b.doc"), (".pdf", "y/b.pdf")]}
     assert {r[0] for r in profile.unconverted(files).collect()} == {"y/a.doc", "z/c.docx"}
     assert "don't" in profile.stop_words() and len(set(profile.stop_words())) == 179
+
+
+def test_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def watched(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame(DOCS, "id long, text string").select("id", watched("text").alias("text"))
+    queries = spark.createDataFrame([(1, "blue fox", [1.0, 0.0])], "qid long, query string, vec array<double>")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i, _ in DOCS], "id long, vec array<double>")
+    assert [r["id"] for r in search.hybrid_rerank(queries, docs, vectors).orderBy("rank").collect()][0] == 2
+    assert read.value == len(DOCS)
+    spark.catalog.clearCache()
+
+
+def test_size_is_checked_before_a_broadcast(spark):
+    from corvane.operators.common import is_small
+
+    df = spark.createDataFrame([(1, "x" * 200), (2, "y")], "a long, b string")
+    assert is_small(df, 2, 1000) and not is_small(df, 1, 1000) and not is_small(df, 2, 100) and is_small(df.limit(0), 0, 0)

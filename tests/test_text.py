@@ -42,3 +42,10 @@ def test_display_names_and_labels(spark):
     assert all(r["got"] == r["want"] for r in got)
     labels = spark.createDataFrame([("Latency_ms",), ("BLEU_Score",)], "m string").select(T.metric_label(F.col("m")).alias("l"), T.preview(F.col("m"), 3).alias("p")).collect()
     assert [tuple(r) for r in labels] == [("Latency(ms)", "Lat"), ("BLEU Score", "BLE")]
+
+
+def test_word_tokens_and_preview(spark):
+    rows = [("Don't stop,\nthe ÉTÉ_2!",), (None,), ("a\u00a0b\tc",), ("\u65e5\u672c 5%",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string").select(T.word_tokens(F.col("x"))).collect()]
+    assert got == [["don", "'", "t", "stop", ",", "the", "été_2", "!"], [], ["a", "b", "c"], ["\u65e5\u672c", "5", "%"]]
+    assert spark.createDataFrame(rows, "x string").select(T.preview(F.col("x"), 3)).first()[0] == "Don"
