@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
-import zlib
 from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
@@ -24,7 +24,7 @@ LOG = logging.getLogger("corvane.encoders")
 @lru_cache(maxsize=200_000)
 def _places(word: str) -> tuple[np.ndarray, np.ndarray]:
     grams = [f"<{word}>"[i : i + 3] for i in range(len(word))] + [f"={word}"]
-    hashes = np.array([zlib.crc32(g.encode()) for g in grams], np.int64)
+    hashes = np.array([int(hashlib.md5(g.encode()).hexdigest()[:8], 16) for g in grams], np.int64)
     return hashes % DIMENSIONS, np.where(hashes >> 16 & 1, 1.0, -1.0)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corvane.operators.answer import DONT_KNOW, PROMPT
+from corvane.operators.chunk import OVERLAP, SEPARATORS, SIZE
 from corvane.operators.profile import STOP_WORDS
 
 
@@ -107,7 +108,55 @@ er AS (SELECT conv_id, turn, ref AS Reference_Answer, cand AS Generated_Answer,
        CASE WHEN ref = '' OR cand = '' OR conv_id % 5 = 0 THEN 0.0 ELSE bleu END AS BLEU_Score, CASE WHEN ref = '' OR cand = '' OR conv_id % 5 = 0 THEN 0.0 ELSE rouge_l END AS ROUGE_L_F1,
        CASE WHEN ref = '' OR cand = '' OR conv_id % 5 = 0 THEN 0.0 ELSE bertscore_f1 END AS BERTScore_F1 FROM pairs JOIN bleu USING (conv_id, turn) JOIN rouge USING (conv_id, turn) JOIN bert USING (conv_id, turn))"""
 
+#: Texts are split level by level; neighbouring pieces below the size are then joined by a fold over their numbers, whose state is the
+#: first piece still held and the ranges given out so far. ``total`` holds running sums of lengths.
+_SEPARATORS = ", ".join(f"repeat(chr(10), {len(s)})" if "\n" in s else f"'{s}'" for s in SEPARATORS)
+_HELD = "(total[{i}] - total[{h}] + gap * ({i} - {h} - 1))"
+CHUNKS = f"""
+nodes AS (
+    SELECT doc_id, []::BIGINT[] AS path, {cleaned("text")} AS t, 1::BIGINT AS s FROM documents
+    UNION ALL
+    SELECT doc_id, list_append(path, pos), ps[pos], level + 1 FROM (
+        SELECT doc_id, path, level, ps, unnest(range(1, len(ps) + 1)) AS pos FROM (
+            SELECT doc_id, path, level, list_filter(string_split(t, ([{_SEPARATORS}])[level]), lambda x: x <> '') AS ps FROM (
+                SELECT *, coalesce(list_filter(range(1, {len(SEPARATORS) + 1}), lambda k: k >= s AND contains(t, ([{_SEPARATORS}])[k]))[1], {len(SEPARATORS)}) AS level FROM nodes)))
+    WHERE length(ps[pos]) >= {SIZE} AND level < {len(SEPARATORS)}),
+levels AS (SELECT *, coalesce(list_filter(range(1, {len(SEPARATORS) + 1}), lambda k: k >= s AND contains(t, ([{_SEPARATORS}])[k]))[1], {len(SEPARATORS)}) AS level FROM nodes),
+cut AS (SELECT doc_id, path, level, list_filter(string_split(t, ([{_SEPARATORS}])[level]), lambda x: x <> '') AS ps FROM levels),
+pieces AS (SELECT doc_id, path, level, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS pos FROM cut),
+runs AS (SELECT *, length(piece) >= {SIZE} AS big, sum(CASE WHEN length(piece) >= {SIZE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, path ORDER BY pos) AS run FROM pieces),
+groups AS (SELECT doc_id, path, min(pos) AS p0, ([{_SEPARATORS}])[any_value(level)] AS sep, list(piece ORDER BY pos) AS ps FROM runs WHERE NOT big GROUP BY doc_id, path, run),
+sums AS (SELECT *, length(sep) AS gap, list_transform(range(0, len(ps) + 1), lambda n: coalesce(list_sum(list_transform(ps[1:n], lambda x: length(x))), 0)::BIGINT) AS total FROM groups),
+folded AS (SELECT *, list_reduce(list_prepend([1::BIGINT], list_transform(range(1, len(ps) + 1), lambda i: [i])), lambda acc, x:
+    CASE WHEN x[1] > acc[1] AND {_HELD.format(i="x[1]", h="acc[1]")} + gap + total[x[1] + 1] - total[x[1]] > {SIZE}
+         THEN list_concat([list_filter(range(acc[1], x[1] + 1), lambda h: h = x[1] OR ({_HELD.format(i="x[1]", h="h")} <= {OVERLAP} AND {_HELD.format(i="x[1]", h="h")} + gap + total[x[1] + 1] - total[x[1]] <= {SIZE}))[1]], acc[2:], [acc[1], x[1] - 1])
+         ELSE acc END) AS st FROM sums),
+ranged AS (SELECT *, list_concat(st[2:], [st[1], len(ps)]) AS r FROM folded),
+found AS (SELECT doc_id, list_concat(path, [p0, j]) AS place, trim(list_reduce(ps[r[2 * j - 1]:r[2 * j]], lambda x, y: x || sep || y)) AS page_content FROM (SELECT *, unnest(range(1, len(r) // 2 + 1)) AS j FROM ranged)
+          UNION ALL SELECT doc_id, list_concat(path, [pos, 0]), piece FROM runs WHERE big AND level = {len(SEPARATORS)})"""
+
 ORACLES: dict[str, str] = {
+    "next_manifest": f"WITH {FILES} SELECT file_path, size FROM cur WHERE NOT file_path LIKE '%7' UNION ALL SELECT file_path, size FROM man WHERE file_path LIKE '%7' AND file_path IN (SELECT file_path FROM cur)",
+    "index_delete_by_file": f"WITH {FILES} SELECT file_path, size FROM cur WHERE file_path NOT IN (SELECT file_path FROM man)",
+    "golden_references": "SELECT b.text AS Question, coalesce(c.text, '') AS Reference_Answer FROM benchmark b LEFT JOIN conversations c ON c.conv_id = b.item_id AND c.turn = 0",
+    "asked_queries": "SELECT conv_id, turn, substring(text, 1, 50) AS preview FROM conversations WHERE trim(text) <> ''",
+    "unconverted_files": """
+        WITH p AS (SELECT DISTINCT 'f/' || page_id % 40 AS base, CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOC' ELSE '.docx' END AS ext FROM pages)
+        SELECT base || ext AS path FROM p WHERE ext <> '.pdf' AND base NOT IN (SELECT base FROM p WHERE ext = '.pdf')""",
+    "local_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date FROM events",
+    "stats_report": f"""
+        WITH {COUNTS} SELECT printf('Total words: %d', sum(frequency)::BIGINT) || chr(10) || printf('Unique words: %d', count(*)) || chr(10) ||
+               printf('Average word length: %.2f', (sum(frequency * length(word)) / sum(frequency))::DOUBLE) AS report FROM counts""",
+    "chunk_ids": "SELECT conv_id, turn, sha256(concat_ws('|', conv_id, turn, text)) AS chunk_id FROM conversations",
+    "metric_labels": "SELECT * FROM (VALUES ('Latency_ms', 'latency(ms)'), ('Peak_Script_Memory_MB', 'peak script memory(MB)'), ('BLEU_Score', 'bleu score'), ('ROUGE_L_F1', 'rouge l f1'), ('BERTScore_F1', 'bertscore f1')) AS v(metric, label)",
+    "term_postings": f"WITH dw AS (SELECT doc_id AS id, {split('text')} AS w FROM documents) SELECT id, term, count(*) AS tf, any_value(dl)::INT AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM dw) GROUP BY id, term",
+    "dense_encode": f"""
+        WITH words AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest({split('text')}) AS w FROM benchmark) GROUP BY ALL),
+        grams AS (SELECT item_id, n, unnest(list_append(list_transform(range(1, length(w) + 1), lambda i: ('<' || w || '>')[i:i + 2]), '=' || w)) AS g FROM words),
+        hashed AS (SELECT item_id, n, ('0x' || md5(g)[1:8])::BIGINT AS h FROM grams),
+        sums AS (SELECT item_id, h % 384 AS dim, sum(CASE WHEN (h >> 16) & 1 = 1 THEN ln(1 + n) ELSE -ln(1 + n) END) AS v FROM hashed GROUP BY ALL)
+        SELECT item_id, dim::INT AS dim, round(v::FLOAT::DOUBLE, 4) AS value FROM (SELECT item_id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY item_id)) AS v FROM sums) WHERE abs(v) > 1e-7""",
+    "chunk_documents": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS chunk_ix, page_content FROM found WHERE page_content <> ''",
     "rouge_l_unstemmed": f"WITH {PAIRS}, {ROUGE} SELECT conv_id, turn, rouge_l FROM rouge",
     "bertscore_f1": f"WITH {PAIRS}, {BERT} SELECT conv_id, turn, bertscore_f1 FROM bert",
     "eval_rows": f"WITH {EVAL} SELECT * FROM er",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions import encoders
 from corvane.functions import text as T
 from corvane.operators import answer, changes, chunk, evaluate, metrics, profile, search
 
@@ -192,4 +193,62 @@ def chunk_documents(spark, sf_dir):
     return chunk.chunk_documents(docs, "doc_id", "text")
 
 
-ALL = (clean_text, page_concat, change_detection, deleted_files, index_replace_by_file, corpus_stats, word_freq_top20, duplicate_groups, duplicate_names, classify_extension, display_name, dense_topk, sparse_topk, hybrid_rrf, hybrid_rerank, answer_top1, format_docs, render_prompt, query_responses, bleu, rouge_l, rouge_l_unstemmed, bertscore_f1, eval_rows, eval_summary, chunk_documents)
+def next_manifest(spark, sf_dir):
+    """The manifest after a run in which every file whose number ends in 7 failed."""
+    current, manifest, _ = _paths(spark, sf_dir)
+    failed = current.filter(F.col("file_path").endswith("7")).select("file_path")
+    return changes.next_manifest(current, manifest, failed).select("file_path", "size")
+
+
+def index_delete_by_file(spark, sf_dir):
+    current, manifest, _ = _paths(spark, sf_dir)
+    return changes.delete_by_key(current.select("file_path", "size"), manifest)
+
+
+def golden_references(spark, sf_dir):
+    """Benchmark items as golden questions, with the first turn of the conversation of the same number, if any, as answer."""
+    turns = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("item_id"), F.col("text").alias("Answer")).dropDuplicates(["item_id"])
+    return evaluate.references(table(spark, sf_dir, "benchmark").join(turns, "item_id", "left").withColumnRenamed("text", "Question"))
+
+
+def asked_queries(spark, sf_dir):
+    """Turns that aren't blank."""
+    return answer.not_blank(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))).select("conv_id", "turn", T.preview(F.col("query"), 50).alias("preview"))
+
+
+def unconverted_files(spark, sf_dir):
+    """Pages as files of folders, every second one's ending changed to .pdf or .DOC by its number."""
+    ending = F.when(F.col("page_id") % 3 == 0, ".pdf").when(F.col("page_id") % 3 == 1, ".DOC").otherwise(".docx")
+    return profile.unconverted(table(spark, sf_dir, "pages").select(F.concat(F.lit("f/"), (F.col("page_id") % 40).cast("string"), ending).alias("path")).distinct())
+
+
+def local_dates(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.local_date(F.col("ts")).alias("date"))
+
+
+def stats_report(spark, sf_dir):
+    return profile.stats_report(profile.corpus_stats(table(spark, sf_dir, "documents"), profile.stop_words()))
+
+
+def chunk_ids(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chunk.chunk_id(F.col("conv_id").cast("string"), F.col("turn"), F.col("text")).alias("chunk_id"))
+
+
+def metric_labels(spark, sf_dir):
+    names = spark.createDataFrame([(m,) for m in evaluate.METRICS], "metric string")
+    return names.select("metric", T.metric_label(F.lower("metric")).alias("label"))
+
+
+def term_postings(spark, sf_dir):
+    """What the index stores of each document: its terms' counts and its length."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.term_counts(docs).filter(F.col("term") != search.MARK)
+
+
+def dense_encode(spark, sf_dir):
+    """The default encoder's vectors of the benchmark items, dimension by dimension where not zero."""
+    vectors = table(spark, sf_dir, "benchmark").select("item_id", encoders.dense_vectors(T.clean_text(F.col("text")), encoders.hashed_dense).alias("v"))
+    return vectors.select("item_id", F.posexplode("v").alias("dim", "value")).filter("abs(value) > 1e-7").select("item_id", "dim", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+ALL = (clean_text, page_concat, change_detection, deleted_files, index_replace_by_file, corpus_stats, word_freq_top20, duplicate_groups, duplicate_names, classify_extension, display_name, dense_topk, sparse_topk, hybrid_rrf, hybrid_rerank, answer_top1, format_docs, render_prompt, query_responses, bleu, rouge_l, rouge_l_unstemmed, bertscore_f1, eval_rows, eval_summary, chunk_documents, next_manifest, index_delete_by_file, golden_references, asked_queries, unconverted_files, local_dates, stats_report, chunk_ids, metric_labels, term_postings, dense_encode)

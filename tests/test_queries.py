@@ -7,7 +7,7 @@ import __spark_entry__
 from corvane.plans import registry
 
 SF = os.environ.get("CORVANE_TEST_SF", "/root/testdata/sf0.001")
-TABLES = "documents benchmark embeddings conversations pages labels".split()
+TABLES = "documents benchmark embeddings conversations pages labels events".split()
 
 
 @pytest.fixture(scope="module")
