@@ -1,6 +1,6 @@
 """License scans by patience alignment of texts with license templates.
 
-A template is found in a text where some stretch of the text, of at most ``SPREAD`` times the template's length, covers
+A template is found in a text where some stretch of the text, of at most ``spread`` times the template's length, covers
 ``LEAST_COVERAGE`` of the template's words. Coverage is measured by patience alignment: words that occur just once
 in the stretch and once in the template are anchors, the longest increasing subsequence of the anchors is kept, and
 the gaps between them are aligned in the same way. A gap without such words is aligned by the longest common
@@ -158,7 +158,7 @@ def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
 class Templates:
     """Templates with their words numbered; 0 is any other word."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], least: float = LEAST_COVERAGE, identified: bool = False):
+    def __init__(self, templates: Sequence[tuple[str, str]], least: float = LEAST_COVERAGE, identified: bool = False, spread: float = SPREAD):
         if len(templates) > MOST_TEMPLATES:
             raise ValueError(f"more than {MOST_TEMPLATES} templates")
         cut = [(name, words(text)) for name, text in templates]
@@ -169,7 +169,7 @@ class Templates:
         self.words = [[self.vocabulary[w] for w in ws] for _, ws in cut]
         self.counts = np.array([np.bincount(w, minlength=len(self.vocabulary) + 1) for w in self.words])
         self.need = [max(1, int(np.ceil(least * len(w) - 1e-9))) for w in self.words]
-        self.stretch = [int(np.ceil(SPREAD * len(w))) for w in self.words]
+        self.stretch = [int(np.ceil(spread * len(w))) for w in self.words]
         self.marks: list[list[range]] = [[] for _ in cut]  # places of the phrases that must be matched without a gap
         for k, ((name, ws), form) in enumerate(zip(cut, templates)):
             if identified and form in SHORT_FORMS:
@@ -238,7 +238,7 @@ class Templates:
 _KNOWN: dict[tuple, Templates] = {}
 
 
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text", identified: bool = False) -> DataFrame:
+def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text", identified: bool = False, spread: float = SPREAD) -> DataFrame:
     """(id, found) per row of docs: found lists the licenses of its text, best coverage first, with the places of the first and last matched word. Where ``identified``, licenses whose name or version isn't matched are left out.
 
     Null, empty and wordless texts have none; equal coverages are ordered by matched words, then name; repeated rows and
@@ -246,7 +246,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, leas
     """
     require(docs, (id_col, text_col))
     small_batches(docs.sparkSession)
-    key = (tuple(templates), least, identified)
+    key = (tuple(templates), least, identified, spread)
     Templates(*key)  # refused here rather than on the executors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, leas
 
 
 def best_license(docs: DataFrame) -> DataFrame:
-    """doc_id, license (null if none is identified), coverage, n_matched, first_word, last_word, n_licenses of every document."""
+    """doc_id, license (null if none is identified), coverage, n_matched, first_word, last_word, n_licenses of every document, and licenses: all that were found, as a list."""
     top = F.get("found", F.lit(0))
     return scan(docs, (*TEMPLATES, *NEIGHBOURS, *SHORT_FORMS), identified=True).select(
         F.col("id").alias("doc_id"),
@@ -272,4 +272,5 @@ def best_license(docs: DataFrame) -> DataFrame:
         top["first_word"].alias("first_word"),
         top["last_word"].alias("last_word"),
         F.size("found").alias("n_licenses"),
+        F.col("found").alias("licenses"),
     )
