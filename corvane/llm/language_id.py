@@ -5,8 +5,8 @@ rotated (permuted) by its place; a text's vector is the sum (bundle) of its n-gr
 language's prototype over its training texts. A text is given the language whose prototype has the
 largest cosine with its vector.
 
-Letters outside a-z share 13 classes by code point and everything that isn't a letter is one gap symbol, so there
-are 40**3 trigrams: a text is first counted by trigram, and only the distinct ones are bound and bundled.
+Every letter of any script has a vector of its own, drawn when it is first met from its code point alone, and everything that
+isn't a letter is one gap symbol. A text is first counted by trigram, and only the distinct ones are bound and bundled.
 
 Prototypes are fitted on a bounded, hash-chosen sample of the training rows (``sample_rows``); what reaches the
 driver is one vector for each language and fitting task.
@@ -23,48 +23,62 @@ from pyspark.sql import functions as F
 
 from .common import require, small_batches
 
-SYMBOLS, GRAM, DIMENSIONS, SEED = 40, 3, 1024, 20
+GRAM, DIMENSIONS, SEED = 3, 1024, 20
 SAMPLE_ROWS, FIT_TASKS, MAX_LANGUAGES = 20_000, 16, 1000
 UNKNOWN = "und"
 
 _ALPHABET: list[np.ndarray] = []
-_LETTERS: dict[int, list[np.ndarray]] = {}
 
 
 def alphabet() -> np.ndarray:
-    """Symbol of every code point: 0 for what is no letter, 1-26 for a-z in either case, 27-39 for other letters."""
+    """The letter of every code point, in lower case; 0 for what is no letter."""
     if not _ALPHABET:
-        out = np.zeros(0x110000, np.uint8)
+        out = np.zeros(0x110000, np.int64)
         for c in range(0x110000):
-            if 0xD800 <= c < 0xE000 or not (s := chr(c)).isalpha():
-                continue
-            low = s.lower()
-            c_low = ord(low) if len(low) == 1 else ord(low[0])
-            out[c] = c_low - 96 if 97 <= c_low <= 122 else 27 + c_low % 13
+            if not 0xD800 <= c < 0xE000 and (s := chr(c)).isalpha():
+                out[c] = ord(s.lower()[0])
         _ALPHABET.append(out)
     return _ALPHABET[0]
 
 
-def letters(seed: int = SEED) -> list[np.ndarray]:
-    """Random +-1 vectors of the symbols, permuted for each place of an n-gram."""
-    if seed not in _LETTERS:
-        base = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), size=(SYMBOLS, DIMENSIONS))
-        _LETTERS[seed] = [np.roll(base, GRAM - 1 - place, axis=1) for place in range(GRAM)]
-    return _LETTERS[seed]
+class Letters:
+    """Random vectors of +1 and -1 of the letters met so far, row by row; the gap symbol is the first."""
+
+    def __init__(self, seed: int = SEED):
+        self.seed, self.rows, self.used = seed, np.full(0x110000, -1, np.int32), 0
+        self.tables = np.empty((GRAM, 64, DIMENSIONS), np.int8)  # rotated by place
+        self.of(np.zeros(1, np.int64))
+
+    def of(self, letters: np.ndarray) -> np.ndarray:
+        """The rows of letters."""
+        rows = self.rows[letters]
+        if (rows < 0).any():
+            for c in np.unique(letters[rows < 0]).tolist():
+                if self.used == self.tables.shape[1]:
+                    self.tables = np.concatenate([self.tables, np.empty_like(self.tables)], axis=1)
+                own = np.random.default_rng((self.seed, c)).choice(np.array([-1, 1], np.int8), size=DIMENSIONS)
+                self.tables[:, self.used] = [np.roll(own, GRAM - 1 - place) for place in range(GRAM)]
+                self.rows[c], self.used = self.used, self.used + 1
+            rows = self.rows[letters]
+        return rows
+
+    def bound(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors of trigrams: the product of their letters' vectors, each rotated by its place."""
+        first, second, third = (self.of(codes >> shift & 0x1FFFFF) for shift in (42, 21, 0))
+        return self.tables[0, first] * self.tables[1, second] * self.tables[2, third]
+
+
+_LETTERS: dict[int, Letters] = {}
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct trigrams of a text (runs of gap symbols count as one, trigrams around a gap only are left out), and how often each occurs."""
     points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
-    symbols = alphabet()[points]
-    inner = np.concatenate([[0], symbols, [0]]).astype(np.uint16)
+    inner = np.concatenate([[0], alphabet()[points], [0]])
     inner = inner[np.concatenate([[True], (inner[1:] != 0) | (inner[:-1] != 0)])]
     if len(inner) < 3:
-        return np.empty(0, np.uint16), np.empty(0, np.int64)
-    codes = (inner[:-2] * SYMBOLS + inner[1:-1]) * SYMBOLS + inner[2:]
-    codes = np.sort(codes, kind="stable")  # radix sort for 16 bits
-    edges = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[edges], np.diff(np.append(edges, len(codes)))
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.unique((inner[:-2] << 42) | (inner[1:-1] << 21) | inner[2:], return_counts=True)
 
 
 def vector(text: str | None, seed: int = SEED) -> np.ndarray | None:
@@ -72,12 +86,11 @@ def vector(text: str | None, seed: int = SEED) -> np.ndarray | None:
     codes, counts = trigrams(text)
     if not len(codes):
         return None
-    first, second, third = letters(seed)
+    if seed not in _LETTERS:
+        _LETTERS[seed] = Letters(seed)
     out = np.zeros(DIMENSIONS, np.float32)
     for at in range(0, len(codes), 4096):
-        c = codes[at : at + 4096].astype(np.int64)
-        bound = first[c // (SYMBOLS * SYMBOLS)] * second[c // SYMBOLS % SYMBOLS] * third[c % SYMBOLS]
-        out += counts[at : at + 4096].astype(np.float32) @ bound.astype(np.float32)
+        out += counts[at : at + 4096].astype(np.float32) @ _LETTERS[seed].bound(codes[at : at + 4096]).astype(np.float32)
     return out
 
 
@@ -123,9 +136,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, lang_pred and score: the nearest prototype's language and its cosine, cut to 0..1; `und` and 0 for null texts and those without letters.
 
-    Equal cosines go to the language that sorts first; without any languages all is `und`.
+    Equal cosines go to the language that sorts first; without any languages all is `und`. Texts of any length are read whole;
+    repeated rows stay. A kept column named lang_pred or score is left out.
     """
     require(docs, (*keep, text_col))
+    keep = tuple(c for c in keep if c.lower() not in ("lang_pred", "score"))
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((languages, prototypes))
 
@@ -145,7 +160,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text_
             scores.append(min(1.0, max(0.0, float(cosines[k]))))
         return pd.DataFrame({"lang_pred": best, "score": scores})
 
-    return docs.select(*keep, of(F.col(text_col)).alias("__p")).select(*keep, "__p.lang_pred", "__p.score")
+    return docs.select(*keep, of(F.col(text_col).cast("string")).alias("__p")).select(*keep, "__p.lang_pred", "__p.score")
 
 
 def held_out(id_column: Column) -> Column:

@@ -19,13 +19,31 @@ def table(n=240):
     return rows
 
 
-def test_binding_equals_the_definition():
-    first = np.random.default_rng(L.SEED).choice(np.array([-1, 1], np.int8), size=(L.SYMBOLS, L.DIMENSIONS))
-    text = "Ab, cé"
-    symbols = [0, *(int(L.alphabet()[ord(c)]) for c in text), 0]
+def brute_vector(text):
+    letter = lambda c: np.random.default_rng((L.SEED, c)).choice(np.array([-1, 1]), size=L.DIMENSIONS)
+    symbols = [0, *(ord(c.lower()[0]) if c.isalpha() else 0 for c in text), 0]
     squeezed = [s for i, s in enumerate(symbols) if i == 0 or s or symbols[i - 1]]
-    want = sum(np.roll(first[a], 2).astype(int) * np.roll(first[b], 1) * first[c] for a, b, c in zip(squeezed, squeezed[1:], squeezed[2:]))
-    assert np.array_equal(L.vector(text), want)
+    return sum(np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c) for a, b, c in zip(squeezed, squeezed[1:], squeezed[2:]))
+
+
+def test_binding_equals_the_definition():
+    for text in ("Ab, cé", "Привет мир", "日本語 ΑΩ", "x"):
+        assert np.array_equal(L.vector(text), brute_vector(text))
+    assert not np.array_equal(L.vector("привет"), L.vector("приват")) and L.vector(" 12 ") is None
+
+
+def test_prototypes_and_nearest_equal_brute_force(spark):
+    rows = [("ab cd", "x"), ("ab ce ab", "x"), ("Жук да", "y"), ("ёж ел", "y"), (None, "y"), ("12", "x"), ("zz", None)]
+    names, table = L.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string"))
+    unit = lambda v: v / np.linalg.norm(v)
+    want = {n: unit(sum(unit(brute_vector(t)) for t, lang in rows if lang == n and t and t != "12")) for n in "xy"}
+    assert names == ["x", "y"] and all(np.allclose(table[i], want[n], atol=1e-5) for i, n in enumerate(names))
+    asked = ["abc", "жуки", "cd ёж ёж"]
+    got = {r["doc_id"]: r for r in L.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), names, table).collect()}
+    for i, t in enumerate(asked):
+        cosines = {n: float(unit(brute_vector(t)) @ want[n]) for n in names}
+        best = max(cosines, key=cosines.get)
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - max(0, cosines[best])) < 1e-4
 
 
 def test_held_out_rows_are_told(spark):
