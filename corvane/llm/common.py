@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,15 +29,16 @@ def ascii_lower(column):
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, as a full URI. Where that is unset a local session gets a temporary one, and any other is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_corvane_shared", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir isn't set; the executors need a folder that all of them see")
-        found = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = context._corvane_shared = "file://" + tempfile.mkdtemp(prefix="corvane-")  # the setting itself can't be changed in a running session
     if "://" not in found:
         path = spark._jvm.org.apache.hadoop.fs.Path(found)
         found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+        found = re.sub(r"^(\w+):/(?!/)", r"\1:///", found)
     return found.rstrip("/")
 
 
@@ -44,13 +46,23 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds inside the block alone."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialised(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends at files that outlive executors."""
+    """Writes df to the shared folder and reads it back: lineage ends at files that outlive executors. The step's shuffle files go with the step."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
-    # the step's shuffle files go once the driver's JVM finds their plan unreachable; that needn't wait for memory to run short
-    spark.sparkContext._jvm.System.gc()
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
