@@ -7,8 +7,8 @@ rarest terms: its offset-adjusted lists (pos - offset: where the window would ha
 intersected, and what survives is intersected with the lists of the remaining terms until every term of the window has
 confirmed the start. Which terms are rare is counted over all documents.
 
-What the benchmark contributes (terms, windows) is broadcast while it is under ``BROADCAST_ROWS`` rows, which is
-checked; beyond that the same joins shuffle. Hot terms and passages shuffle by document and start, never by the term
+What the benchmark contributes (terms, windows) is broadcast while it is under a number of rows and bytes, which
+are checked; beyond that the same joins shuffle. Hot terms and passages shuffle by document and start, never by the term
 alone, and hits are counted per document by distinct positions.
 """
 
@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, materialised, require
+from .common import ascii_lower, maybe_broadcast, materialised, require
 
 #: A word is a run of ASCII letters, digits and anything beyond ASCII; no word is a single break.
 BREAK, MARK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "
-WINDOW, BROADCAST_ROWS = 10, 200_000
-#: Where a posting is: the document's id and a digest of its text, as ids may repeat.
-DOC = ("doc", "text_crc")
+WINDOW = 10
+#: Whose posting it is: 128 bits of the row's id and text. Equal rows share them, and all else is told apart, also where ids repeat or are null.
+DOC = ("k1", "k2")
 
 
 def words(text: Column) -> Column:
@@ -44,9 +44,9 @@ def windows(benchmark: DataFrame, size: int = WINDOW, item_col: str = "item_id",
     return runs.select("item", F.sha2(F.array_join("terms", " "), 256).alias("window"), "terms")
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most ``rows`` rows (counted up to that bound), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def keyed(doc: Column, text: Column) -> tuple[Column, Column]:
+    own = F.coalesce(text, F.lit(""))
+    return F.xxhash64(doc.cast("string"), own).alias("k1"), F.xxhash64(F.lit(1), own, F.coalesce(doc.cast("string"), F.lit(" "))).alias("k2")
 
 
 def numbered(terms: DataFrame) -> DataFrame:
@@ -56,13 +56,13 @@ def numbered(terms: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc, text_crc, pos, number) of docs (doc, text) for the numbered terms given: the index entries to store."""
-    tokens = docs.select("doc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc"), F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(MARK)))).alias("pos", "term"))
-    return tokens.join(maybe_broadcast(terms), "term").select(*DOC, "pos", "number")
+    """(k1, k2, doc, pos, number) of docs (doc, text) for the numbered terms given: the index entries to store. doc is with the mark alone."""
+    tokens = docs.select(*keyed(F.col("doc"), F.col("text")), "doc", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(MARK)))).alias("pos", "term"))
+    return tokens.join(maybe_broadcast(terms), "term").select(*DOC, F.when(F.col("number") < 0, F.col("doc")).alias("doc"), "pos", "number")
 
 
 def phrase_hits(index: DataFrame, slots: DataFrame) -> DataFrame:
-    """(doc, text_crc, window, start, length): every exact occurrence of a window. slots: (window, length, off, number), a row for each word of each window."""
+    """(k1, k2, window, start, length): every exact occurrence of a window. slots: (window, length, off, number), a row for each word of each window."""
     counts = materialised(index.filter("number >= 0").groupBy("number").agg(F.count("*").alias("n")), "term-counts")
     # a window with a term that no document has cannot occur; of the others, the rarest two slots are looked up first
     by_rarity = Window.partitionBy("window").orderBy("n", "number", "off")
@@ -88,46 +88,53 @@ def phrase_hits(index: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def proximity_hits(docs: DataFrame, a: str, b: str, within: int) -> DataFrame:
-    """(doc, pos, other): occurrences of term a with another term b at most ``within`` words away, from the same postings. docs: (doc, text)."""
-    terms = docs.sparkSession.createDataFrame([(a, 0), (b, 1)], "term string, number long")
+    """(doc, pos, other): occurrences of term a with another term b at most ``within`` words away, from the same postings, for each row of docs (doc, text)."""
+    terms = docs.sparkSession.createDataFrame([(a, 0), (b, 1), (MARK, -1)], "term string, number long")
     index = postings(docs, terms)
     cell = (F.col("pos") / within).cast("long")
-    left = index.filter("number = 0").select(*DOC, "pos", cell.alias("cell"))
-    right = index.filter("number = 1").select(*DOC, F.col("pos").alias("other"), F.explode(F.array(*(cell + d for d in (-1, 0, 1)))).alias("cell"))
-    return left.join(right, [*DOC, "cell"]).filter((F.abs(F.col("pos") - F.col("other")) <= within) & (F.col("pos") != F.col("other"))).select("doc", "pos", "other")
+    left = index.filter("number = 0").select(*DOC, "pos", cell.alias("cell")).distinct()
+    right = index.filter("number = 1").select(*DOC, F.col("pos").alias("other"), F.explode(F.array(*(cell + d for d in (-1, 0, 1)))).alias("cell")).distinct()
+    near = left.join(right, [*DOC, "cell"]).filter((F.abs(F.col("pos") - F.col("other")) <= within) & (F.col("pos") != F.col("other")))
+    return index.filter("number = -1").select(*DOC, "doc").join(near, [*DOC]).select("doc", "pos", "other")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) per row of docs.
-
-    n_hit counts the words inside any occurrence of a window, n_items the items with occurring windows; null and empty
-    texts have no words and are never hit, nor do null or wordless items contribute. Rows with one id are told apart by
-    their texts; a row with a null id is reported without hits. An empty benchmark hits nothing; an empty table gives
-    no rows; other columns are ignored.
-    """
-    require(docs, (id_col, text_col))
+def _results(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """(k1, k2, doc, n_words, n_hit, items) per row of docs (doc, text); the last two are null where nothing is hit."""
     runs = materialised(windows(benchmark, size), "windows")
     terms = materialised(numbered(runs.select(F.explode("terms").alias("term"))), "terms")
-    index = materialised(postings(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), terms), "postings")
+    index = materialised(postings(docs, terms), "postings")
     spread = runs.select("window", "terms").distinct().select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("off", "term"))
     slots = materialised(spread.join(terms, "term").drop("term"), "slots")
     hits = materialised(phrase_hits(index, slots), "hits")
     covered = hits.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy(*DOC).agg(F.count("*").alias("n_hit"))
     named = hits.select(*DOC, "window").distinct().join(maybe_broadcast(runs.select("window", "item")), "window").groupBy(*DOC).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = covered.join(named, [*DOC])
-    sizes = index.filter("number = -1").select(*DOC, F.col("pos").cast("long").alias("n_words"))
-    n_items = F.coalesce(F.size("items"), F.lit(0)).cast("long")
-    return sizes.join(found, [*DOC], "left").select(
+    rows = index.filter("number = -1").select(*DOC, "doc", F.col("pos").cast("long").alias("n_words"))
+    return rows.join(covered.join(named, [*DOC]), [*DOC], "left")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) per row of docs.
+
+    n_hit counts the words inside any occurrence of a window, n_items the items with occurring windows; null and empty
+    texts have no words and are never hit, nor do null or wordless items contribute. Each row is judged by its own text:
+    rows with one id, repeated rows and rows with a null id all get their hits. Texts of any length are read whole. An empty
+    benchmark hits nothing; an empty table gives no rows; other columns are ignored.
+    """
+    require(docs, (id_col, text_col))
+    n_hit, items = F.col("n_hit"), F.col("items")
+    return _results(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), benchmark, size).select(
         F.col("doc").alias("id"),
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.when(F.col("items").isNull(), F.lit(0)).otherwise(n_items).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
+        F.when(items.isNull(), F.lit(0)).otherwise(F.size(items)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join(items, ","), F.lit("")), 256).alias("items_sha256"),
+        F.coalesce(n_hit > 0, F.lit(False)).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a window of the benchmark; all columns kept."""
-    hit = contamination(docs.select("doc_id", "text"), benchmark).filter("contaminated").select(F.col("id").alias("doc_id"))
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text holds a window of the benchmark, whatever their id; all columns and all other rows kept, repeated ones too."""
+    require(docs, ("doc_id", "text"))
+    hit = _results(docs.select(F.col("doc_id").alias("doc"), "text"), benchmark, WINDOW).filter("n_hit > 0").select(*(F.col(k).alias(f"__{k}") for k in DOC)).distinct()
+    own = docs.select("*", *(k.alias(f"__{n}") for k, n in zip(keyed(F.col("doc_id"), F.col("text")), DOC)))
+    return own.join(hit, [f"__{k}" for k in DOC], "left_anti").select(*docs.columns)

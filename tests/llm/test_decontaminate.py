@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.llm import common
 from corvane.llm import decontaminate as D
 
 
@@ -23,7 +24,7 @@ def brute(docs, items, size):
         w, hit, named = plain_words(text), set(), set()
         for item, run in wins:
             for i in range(len(w) - len(run) + 1):
-                if tuple(w[i : i + len(run)]) == run and doc is not None:
+                if tuple(w[i : i + len(run)]) == run:
                     hit |= set(range(i, i + len(run)))
                     named.add(item)
         out.append((doc, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)))
@@ -47,18 +48,26 @@ def test_equals_brute_force(spark, seed):
 
 def test_joins_that_shuffle_give_the_same(spark, monkeypatch):
     docs, items = table(random.Random(3), 30)
-    monkeypatch.setattr(D.maybe_broadcast, "__defaults__", (0,))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), size=4)
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items, 4)
 
 
 def test_repeated_rows_are_hit_like_one(spark):
     passage = "one two three four five six seven"
-    docs, items = [(1, f"x {passage} y")] * 2 + [(2, passage)] * 3 + [(2, "nothing"), (3, f"{passage} {passage}"), (4, "two one"), (4, "two one")], [(7, passage), (8, "two one"), (9, "nothing")]
+    docs, items = [(None, f"n {passage}")] * 2 + [(None, "two one"), (None, None), (1, f"x {passage} y")] * 2 + [(2, passage)] * 3 + [(2, "nothing"), (3, f"{passage} {passage}"), (4, "two one"), (4, "two one")], [(7, passage), (8, "two one"), (9, "nothing")]
     rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for size in (4, 10):
         assert sorted(map(tuple, D.contamination(rows, bench, size=size).collect()), key=str) == brute(docs, items, size)
-    assert D.drop_contaminated(rows, bench).count() == 0
+    assert sorted(map(tuple, D.drop_contaminated(rows, bench).collect()), key=str) == [(None, None), (None, None)]
+    near = D.proximity_hits(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b")], "doc long, text string"), "a", "b", 1)
+    assert sorted(map(tuple, near.collect()), key=str) == [(1, 0, 1), (1, 0, 1), (None, 0, 1)]
+
+
+def test_large_sides_are_not_broadcast(spark):
+    df = spark.createDataFrame([(1, "x" * 200)], "a long, b string")
+    hinted = lambda **k: "ResolvedHint" in common.maybe_broadcast(df, **k)._jdf.queryExecution().toString() or "broadcast" in common.maybe_broadcast(df, **k)._jdf.queryExecution().toString().lower()
+    assert hinted(rows=1, size=1000) and not hinted(rows=0, size=1000) and not hinted(rows=1, size=100)
 
 
 def test_proximity(spark):
