@@ -141,7 +141,7 @@ ORACLES: dict[str, str] = {
     "golden_references": "SELECT b.text AS Question, coalesce(c.text, '') AS Reference_Answer FROM benchmark b LEFT JOIN conversations c ON c.conv_id = b.item_id AND c.turn = 0",
     "asked_queries": "SELECT conv_id, turn, substring(text, 1, 50) AS preview FROM conversations WHERE trim(text) <> ''",
     "unconverted_files": """
-        WITH p AS (SELECT DISTINCT 'f/' || page_id % 40 AS base, CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOC' ELSE '.docx' END AS ext FROM pages)
+        WITH p AS (SELECT DISTINCT 'f/' || page_id // 2 AS base, CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOC' ELSE '.docx' END AS ext FROM pages)
         SELECT base || ext AS path FROM p WHERE ext <> '.pdf' AND base NOT IN (SELECT base FROM p WHERE ext = '.pdf')""",
     "local_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date FROM events",
     "stats_report": f"""

@@ -217,9 +217,9 @@ def asked_queries(spark, sf_dir):
 
 
 def unconverted_files(spark, sf_dir):
-    """Pages as files of folders, every second one's ending changed to .pdf or .DOC by its number."""
+    """Pages as files, two to a name, with endings by their numbers."""
     ending = F.when(F.col("page_id") % 3 == 0, ".pdf").when(F.col("page_id") % 3 == 1, ".DOC").otherwise(".docx")
-    return profile.unconverted(table(spark, sf_dir, "pages").select(F.concat(F.lit("f/"), (F.col("page_id") % 40).cast("string"), ending).alias("path")).distinct())
+    return profile.unconverted(table(spark, sf_dir, "pages").select(F.concat(F.lit("f/"), F.floor(F.col("page_id") / 2).cast("string"), ending).alias("path")).distinct())
 
 
 def local_dates(spark, sf_dir):
