@@ -19,7 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialised, only_rows, require
+from .common import ascii_lower, materialised, only_rows, released, require
+
+
+#: Rows given to one bucket of the index, on average and at most.
+BUCKET_ROWS = 500_000
+
+
+def bucket_count(rows: DataFrame) -> int:
+    """So many buckets that each gets about ``BUCKET_ROWS`` rows at most, and as many as there are shuffle partitions at least. rows: stored, so that counting reads footers."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET_ROWS))
 
 
 class CuckooFilter:
@@ -145,19 +154,20 @@ def build_index(own: DataFrame, buckets: int | None = None) -> DataFrame:
     """(digest, keep_id, group_size): the live entries after inserting every row of ``own`` (id, digest).
 
     Rows are first combined by digest, batch by batch, where they are read; what a bucket receives is at
-    most one row per digest and batch. A bucket's filter starts small and grows with what it is given.
+    most one row per digest and batch. There are as many buckets as the rows need (``bucket_count``); a bucket's
+    filter starts small and grows with what it is given.
     """
-    n = buckets or int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or bucket_count(own)
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in released(batches):
             yield part.assign(id=part["id"].astype("Int64")).groupby("digest", as_index=False, sort=False).agg(keep_id=("id", "max"), group_size=("digest", "size"))
 
     partial = own.mapInPandas(combine, "digest binary, keep_id long, group_size long")
 
     def insert_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = DigestIndex()
-        for part in batches:
+        for part in released(batches):
             for digest, keep, rows in zip(part["digest"], part["keep_id"], part["group_size"]):
                 index.insert(bytes(digest), None if pd.isna(keep) else int(keep), int(rows))
         live = list(index.live.items())
@@ -170,7 +180,7 @@ def build_index(own: DataFrame, buckets: int | None = None) -> DataFrame:
 
 def remove(index: DataFrame, dead: DataFrame, buckets: int | None = None) -> DataFrame:
     """The index without the digests of ``dead`` (digest): each bucket deletes them from its filter and store."""
-    n = buckets or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or bucket_count(index)
     both = index.select("digest", "keep_id", "group_size", F.lit(False).alias("gone")).unionByName(
         dead.select("digest").distinct().select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("gone"))
     )
@@ -203,6 +213,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, that with the largest doc_id; all columns kept, and all rows without a doc_id."""
+    """docs with one row of each group of equal texts, that with the largest doc_id; all columns kept, and all rows without a doc_id.
+
+    Null and empty texts are equal. Of repeated rows (one id, one text) any one stays. An empty table gives no rows.
+    """
     digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
     return only_rows(docs, exact_duplicates(docs.select("doc_id", "text")).filter("kept and id is not null").select("id", "text_sha256"), digest)

@@ -4,7 +4,7 @@ Two fingerprints at distance d meet at a third one halfway. Emitting whole 64-bi
 cost 2,081 variants a fingerprint, so the word is first cut into three blocks: of three or fewer differing
 bits, at least one falls into the block where most differ, hence some two blocks hold at most two of them.
 For each pair of kept blocks a fingerprint emits itself and every one-bit variant of the kept bits (half
-the radius of two): 132 variants in all. Fingerprints that link share a variant, whichever it is.
+the radius of two): 131 variants in all. Fingerprints that link share a variant, whichever it is.
 Variants are shuffled, colliding pairs are verified on all 64 bits, and each pair is reported from one
 canonical variant only, so no pair needs deduplicating after the shuffle.
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialised, only_rows, require
+from .common import connected_components, materialised, only_rows, released, require, small_batches
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Bits of each block; a key keeps two of the three.
@@ -55,10 +55,12 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, fp) and the ``keep`` columns: fp the fingerprint as a signed long."""
     require(docs, (id_col, text_col))
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([signed(fingerprint(t)) for t in texts], dtype="int64")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in released(batches):
+            yield pd.Series([signed(fingerprint(t)) for t in texts], dtype="int64")
 
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("fp"), *keep)
 
@@ -67,7 +69,7 @@ def variants(fps: DataFrame) -> DataFrame:
     """(key, drop, fp) for every distinct fingerprint: the kept bits and their one-bit variants, for each dropped block."""
     def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = [np.array([0, *(1 << b for b in range(64) if mask >> b & 1)], np.uint64) for mask in MASKS]
-        for batch in batches:
+        for batch in released(batches):
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for at in range(0, len(fp), 2000):
                 part = fp[at : at + 2000]
@@ -121,7 +123,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 if own.any():
                     yield pa.record_batch([pa.array(a[own].view(np.int64)), pa.array(b[own].view(np.int64))], names=["a", "b"])
 
-        for batch in batches:
+        for batch in released(batches):
             keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
             fps_ = np.concatenate([fps_, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
             ends = np.flatnonzero(keys[1:] != keys[:-1])
@@ -156,7 +158,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates of an earlier row: of each component one row with the smallest doc_id stays, all its columns kept, and all rows without a doc_id."""
+    """docs without the near-duplicates of an earlier row: of each component one row with the smallest doc_id stays, all its columns kept, and all rows without a doc_id.
+
+    Null, empty and blank texts are near each other. Of rows with the smallest doc_id and different texts that with the least
+    digest stays, of repeated rows any one. An empty table gives no rows.
+    """
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     rows = components(docs.select("doc_id", "text", digest.alias("digest")), "doc_id", "text", RADIUS, ("digest",))
     kept = rows.filter("id = component_id").groupBy("root").agg(F.min(F.struct("id", "digest")).alias("row"))

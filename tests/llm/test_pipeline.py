@@ -84,3 +84,24 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         out = stage(spark, docs.limit(0), sf_dir)
         assert out.columns[: len(docs.columns)] == docs.columns and out.count() == 0, name
     assert [m.__name__.rsplit(".", 1)[1] for m in (toxicity, exact_dedup, simhash, decontaminate, byte_bpe)]
+
+
+def test_clashing_columns_repeated_rows_and_long_texts(spark, tmp_path):
+    sf_dir = f"file://{tmp_path}/sf"
+    rows, items = corpus(sf_dir, spark)
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = " ".join(f"long{i}" for i in range(150_000))
+    more = spark.createDataFrame([(1000, long, "en", "s", 1), (1000, long, "en", "s", 1), (1001, "", None, None, None), (None, items[1][1], None, None, None), (None, items[1][1], None, None, None)], SCHEMA)
+    docs = plain.limit(60).unionByName(plain.filter("doc_id < 5")).unionByName(more)
+    clash = docs.selectExpr("*", "doc_id as score", "'p' as predicted", "'n' as n_tokens", "'i' as ids", "'d' as decoded", "1 as k1", "2 as digest", "3 as fp", "4 as kept", "5 as held_out")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clash, sf_dir)
+        want = stage(spark, docs, sf_dir)
+        got = out.collect()
+        assert sorted(str(r["doc_id"]) + str(r["text"])[:99] for r in got) == sorted(str(r["doc_id"]) + str(r["text"])[:99] for r in want.collect()), name
+        if name != "byte-level BPE":
+            assert out.columns == clash.columns and all((r["predicted"], r["n_tokens"], r["kept"]) == ("p", "n", 4) for r in got), name
+            assert sum(r["doc_id"] == 1000 for r in got) == (1 if "dedup" in name else 2), name
+        else:
+            assert out.columns == [c for c in clash.columns if c not in ("n_tokens", "ids", "decoded")] + ["n_tokens", "ids", "decoded_sha256"] and len(got) == clash.count()
+    assert not corpus_pipeline.without_benchmark(spark, clash, sf_dir).filter("doc_id is null and n_chars is null").count()
