@@ -37,9 +37,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space beside white space or an end of the text; a space that isn't.
 DOUBLE, SINGLE = regex.compile(rf"^ | $| [{SPACE}]|[{SPACE}] "), regex.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 SPACED = regex.compile(r"(?:'\w+\|)* \?\\p\{L\}\+\| \?\\p\{N\}\+\| \?\[\^\\s\\p\{L\}\\p\{N\}\]\+\|\\s\+\(\?!\\S\)\|\\s\+")
-PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT = 200_000, 1_000_000, 64
+PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT = 50_000, 300_000, 64
 #: Bytes of texts taken at once, and of chunks and their ids kept in a codec.
-PART_BYTES, KEPT_BYTES, CHUNKS_KEPT = 8_000_000, 48_000_000, 400_000
+PART_BYTES, KEPT_BYTES, CHUNKS_KEPT = 4_000_000, 40_000_000, 300_000
 #: A character in no token.
 MARK = "\u0100"
 _WHITE = np.zeros(256, bool)
@@ -228,7 +228,7 @@ class ByteBPE:
         self.prefix = [self._longest_prefix(t) for t in tokens]
         self.left, self.right = list(range(len(tokens))), list(range(len(tokens)))
         self.merged: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         for i, t in enumerate(tokens):  # in rank order: a split only needs merges of lower rank
             a = self.prefix[i]
             while a >= 0:
@@ -275,11 +275,12 @@ class ByteBPE:
                 return True
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.fits.get((a, b))
+        pair = a << 32 | b
+        known = self.fits.get(pair)
         if known is None:
             if len(self.fits) >= PAIRS_KEPT:
                 self.fits.clear()
-            known = self.fits[a, b] = self._compatible(a, b)
+            known = self.fits[pair] = self._compatible(a, b)
         return known
 
     def longest_at(self, text: str, at: int) -> int:
@@ -295,7 +296,7 @@ class ByteBPE:
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        n, lengths, prefix, fits, text = len(piece), self.lengths, self.prefix, self.fits, piece.decode("latin-1")
+        n, lengths, prefix, text = len(piece), self.lengths, self.prefix, piece.decode("latin-1")
         out: list[int] = []
         dead = bytearray(n + 1)
         at, token = 0, -1
@@ -305,10 +306,7 @@ class ByteBPE:
             end = at + lengths[token]
             if not dead[end]:
                 if out:
-                    pair = (out[-1], token)
-                    fit = fits.get(pair)
-                    if fit is None:
-                        fit = self.compatible(*pair)
+                    fit = self.compatible(out[-1], token)
                 else:
                     fit = True
                 if fit:
