@@ -202,17 +202,21 @@ def window_hashes(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     return docs.mapInArrow(run, "id long, at long, hash long, hash2 long")
 
 
-def joined_up(matches: list[dict], size: int) -> list[tuple]:
-    """Maximal repeats of one document's matches: (check, start, words, owner, owner_check, owner_start), of neighbouring runs on one diagonal of one owner."""
-    runs = sorted({(m["at"] >> 16 & 0xFFFF, m["owner"], m["owner_at"] >> 16 & 0xFFFF, (m["owner_at"] >> 32) - (m["at"] >> 32), m["at"] >> 32, m["at"] & 0xFFFF) for m in matches})
-    out: list[list] = []
-    for check, owner, owner_check, shift, first, count in runs:
-        end = first + count + size - 1
-        if out and out[-1][:4] == [check, owner, owner_check, shift] and first <= out[-1][5] - size + 1:
-            out[-1][5] = max(out[-1][5], end)
-        else:
-            out.append([check, owner, owner_check, shift, first, end])
-    return [(check, first, end - first, owner, owner_check, first + shift) for check, owner, owner_check, shift, first, end in out]
+def joined_up(doc: np.ndarray, at: np.ndarray, owner: np.ndarray, owner_at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Maximal repeats of matched runs: (doc, check, start, words, owner, owner_check, owner_start), of neighbouring runs of one document on one diagonal of one owner."""
+    check, owner_check, first, count = at >> 16 & 0xFFFF, owner_at >> 16 & 0xFFFF, at >> 32, at & 0xFFFF
+    shift = (owner_at >> 32) - first
+    order = np.lexsort((first, shift, owner_check, owner, check, doc))
+    doc, check, owner, owner_check, shift, first, count = (x[order] for x in (doc, check, owner, owner_check, shift, first, count))
+    if not len(doc):
+        return doc, check, first, count, owner, owner_check, first
+    other = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (doc, check, owner, owner_check, shift)], axis=0)])
+    apart = np.cumsum(other) << 32  # diagonals one behind another, so that the furthest end so far is one running maximum
+    furthest = np.maximum.accumulate(apart + first + count + size - 1)
+    begins = np.flatnonzero(other | np.concatenate([[True], apart[1:] + first[1:] > furthest[:-1] - size + 1]))
+    last = np.append(begins[1:], len(doc)) - 1
+    n_words = furthest[last] - apart[last] - first[begins]
+    return doc[begins], check[begins], first[begins], n_words, owner[begins], owner_check[begins], (first + shift)[begins]
 
 
 MATCH = "id long, check int, start int, n_words int, owner long, owner_check int, owner_start int"
@@ -237,10 +241,12 @@ def matches(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     grouped = whole.unionByName(single).groupBy("id").agg(F.collect_list(F.struct("at", "owner", "owner_at")).alias("found"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 2]
         for batch in batches:
-            rows = [(i, *m) for i, found in zip(batch.column(0).to_pylist(), batch.column(1)) for m in joined_up(found.as_py(), size)]
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 2])], names=[c.split()[0] for c in MATCH.split(", ")])
+            lists = batch.column(1)
+            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
+            out = joined_up(doc, *(x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()), size)
+            yield pa.record_batch([pa.array(c).cast(t) for c, t in zip(out, kinds)], names=[c.split()[0] for c in MATCH.split(", ")])
 
     return materialised(grouped.mapInArrow(join_up, MATCH), "matches")
 
@@ -291,7 +297,8 @@ def confirmed(own: list[bytes], start: int, passage: bytes, size: int) -> Iterat
 def _with_passages(docs: DataFrame, size: int) -> DataFrame:
     """docs (id, text) with ``found``: the passages that other documents own of it; null where there are none."""
     found = matches(docs, size)
-    fetched = found.join(passages(docs, found), ["owner", "owner_check", "owner_start", "n_words"])
+    # a written side leaves the join two shuffles, of which Spark splits what is hot: a passage may be a third of all rows
+    fetched = found.join(materialised(passages(docs, found), "passages"), ["owner", "owner_check", "owner_start", "n_words"])
     grouped = fetched.groupBy("id").agg(F.collect_list(F.struct("check", "start", "owner", "owner_start", "passage")).alias("found"))
     return docs.join(grouped, "id", "left").select("id", "text", "found")
 
