@@ -284,10 +284,14 @@ class Counts:
     """In how many toxic and clean texts each word and each beginning of a word occurs; words are given by number."""
 
     def __init__(self, names: list[str]):
-        keys, there = word_keys(names)
-        self.per = there.sum(axis=1)
+        keys, per = [], []
+        for at in range(0, len(names), 50_000):
+            some, there = word_keys(names[at : at + 50_000])
+            keys.append(some[there])
+            per.append(there.sum(axis=1))
+        self.per = np.concatenate(per)
         self.first = np.cumsum(self.per) - self.per
-        self.keys, self.flat = np.unique(keys[there], return_inverse=True)
+        self.keys, self.flat = np.unique(np.concatenate(keys), return_inverse=True)
         self.flat = self.flat.astype(np.int32)
         self.texts = np.zeros((2, len(self.keys)), np.int32)
         self.n = [0, 0]
@@ -479,7 +483,10 @@ def train(texts: list[str], text_labels: np.ndarray, numbers: np.ndarray) -> Mod
         return pool[np.minimum(np.searchsorted(ends, rng.random(n) * ends[-1], side="right"), len(pool) - 1)]
 
     p = initial(len(vocabulary))
-    spelled, spelled_mask = (x.astype(np.uint8) for x in spell(names))
+    spelled, spelled_mask = (np.zeros((len(names), LONGEST_WORD + 1), np.uint8) for _ in range(2))
+    for at in range(0, len(names), 50_000):
+        for whole_table, part in zip((spelled, spelled_mask), spell(names[at : at + 50_000])):
+            whole_table[at : at + len(part), : part.shape[1]] = part
     ids = np.array([vocabulary.get(w, 0) for w in names])
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     half = BATCH // 2
@@ -551,7 +558,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     id_type = rows.schema["id"].dataType.simpleString()
     small_batches(rows.sparkSession)
     sample = rows.mapInPandas(read, f"id {id_type}, words string, label int").toPandas().sort_values(["id", "words"], kind="stable")
-    return train(list(sample["words"]), sample["label"].to_numpy(), pd.factorize(sample["id"], use_na_sentinel=False)[0])
+    model = train(list(sample["words"]), sample["label"].to_numpy(), pd.factorize(sample["id"], use_na_sentinel=False)[0])
+    list(released(()))  # the driver's process lives on
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
