@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corvane.llm import substring_dedup as S
@@ -74,6 +75,24 @@ def test_other_lengths(spark):
         assert {r["id"]: r["n_removed"] for r in got} == want
 
 
+def test_runs_are_joined_up_by_diagonal():
+    rng, size = random.Random(6), 13
+    runs = sorted({(rng.randrange(3), rng.randrange(2), rng.randrange(60), rng.randrange(1, 10), rng.randrange(2), rng.randrange(2), rng.choice([0, 0, 7])) for _ in range(120)})
+    covered, want = {}, set()
+    for doc, check, first, count, owner, owner_check, shift in runs:
+        covered.setdefault((doc, check, owner, owner_check, shift), set()).update(range(first, first + count))
+    for (doc, check, owner, owner_check, shift), starts in covered.items():
+        for s in starts:
+            if s - 1 not in starts:
+                end = next(e for e in range(s, 200) if e not in starts)
+                want.add((doc, check, s, end - s + size - 1, owner, owner_check, s + shift))
+    rng.shuffle(runs)
+    doc, check, first, count, owner, owner_check, shift = (np.array(c, np.int64) for c in zip(*runs))
+    got = S.joined_up(doc, S.packed(first, check, count), owner, S.packed(first + shift, owner_check, count), size)
+    assert {tuple(int(v) for v in r) for r in zip(*got)} == want
+    assert all(len(x) == 0 for x in S.joined_up(*(np.empty(0, np.int64),) * 4, size))
+
+
 def test_words_are_compared_not_hashes():
     own = [f"w{i}".encode() for i in range(40)]
     same = b" ".join(own[5:35])
