@@ -254,7 +254,10 @@ def matches(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(owner, owner_check, owner_start, n_words, passage): the words of each distinct passage that the matches ask for, joined by spaces, from its owner's text."""
     asked = found.select("owner", "owner_check", "owner_start", "n_words").distinct().groupBy("owner").agg(F.collect_list(F.struct("owner_check", "owner_start", "n_words")).alias("asked"))
-    names = ["owner", "owner_check", "owner_start", "n_words", "passage"]
+    names, kinds = ["owner", "owner_check", "owner_start", "n_words", "passage"], [pa.int64(), *[pa.int32()] * 3, pa.binary()]
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
@@ -267,10 +270,10 @@ def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
                         rows.append((i, check, a["owner_start"], a["n_words"], b" ".join(own[a["owner_start"] : a["owner_start"] + a["n_words"]])))
                         held += len(rows[-1][-1])
                         if held > 4_000_000:
-                            yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=names)
+                            yield as_batch(rows)
                             rows, held = [], 0
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), *[pa.int32()] * 3, pa.binary()])], names=names)
+                yield as_batch(rows)
 
     own = docs.join(asked, docs["id"] == asked["owner"]).select("id", "text", "asked")
     # rows of one id and one text give a passage more than once

@@ -108,6 +108,15 @@ def test_very_long_text(spark):
     assert sorted(map(tuple, S.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
 
 
+def test_passages_of_many_megabytes(spark):
+    """One text's passages fill several batches, the last of them in part."""
+    rng = random.Random(8)
+    long = [f"m{rng.randrange(10**6)}".ljust(2000, "x") for _ in range(3000)]
+    parts = [long[a:b] for a, b in ((0, 1200), (1180, 2300), (2000, 3000), (40, 60), (2990, 3000))]
+    rows = [(1, " ".join(long)), *((i, " ".join([f"own{i}", *p, f"end{i}"])) for i, p in enumerate(parts, 2)), (9, " ".join(long))]
+    assert sorted(map(tuple, S.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"v{i}" for i in range(20))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")
