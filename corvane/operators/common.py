@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +22,18 @@ def small_side(df: DataFrame, rows: int | None = None, size: int | None = None)
     return F.broadcast(df) if is_small(df, rows, size) else df
 
 
+def kept_side(df: DataFrame) -> DataFrame:
+    """As ``small_side``, of a df that is dear to compute: it is kept (``persist``), so that counting it isn't computing it twice."""
+    return small_side(df.persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds what one Arrow batch of whole texts can hold: at most ``rows`` of them. The setting stays, as plans run later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def top_per(df: DataFrame, group: str, score: Column, tie: str, k: int, rank: str = "rank") -> DataFrame:
     """The k best rows of each group by falling score (to nine decimals) and rising tie, with their rank from 1. Spark cuts to k before it shuffles."""
     order = Window.partitionBy(group).orderBy(F.round(score, 9).desc(), F.col(tie))

@@ -13,12 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import clean_text, terms
-from corvane.operators.common import is_small, small_side, top_per
+from corvane.operators.common import is_small, small_batches, small_side, top_per
 
 K1, B, RRF_K, TOP_K, CANDIDATES, RERANKED = 1.2, 0.75, 60, 10, 20, 3
 #: Rows and queries in one block of the dense search, and the queries (rows and bytes of vectors) that are sent to all tasks instead.
@@ -137,13 +138,51 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(terms(clean_text(F.col("query"))))).alias("term"))
 
 
+def words_of(cleaned: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of cleaned texts: their words, the number of the text that each word is from, and the texts' lengths in words. As ``terms`` splits them."""
+    split = pc.split_pattern(cleaned.cast(pa.large_string()), " ")
+    words, rows = split.flatten(), np.repeat(np.arange(len(cleaned)), split.value_lengths().to_numpy(zero_copy_only=False))
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    return words.filter(pa.array(real)), rows[real], np.bincount(rows[real], minlength=len(cleaned))
+
+
+def counted(rows: np.ndarray, codes: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, how often) of pairs that are given once for each time, by row and code."""
+    pairs, n = np.unique(rows.astype(np.int64) * max(1, n_codes) + codes, return_counts=True)
+    return pairs // max(1, n_codes), pairs % max(1, n_codes), n
+
+
+def repeated(ids: DataFrame) -> DataFrame | None:
+    """(again): the ids, null too, of more than one row, marked for broadcast if they are few; None if there are none. Only ids are shuffled."""
+    again = ids.groupBy(F.col("id").alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again").persist(StorageLevel.MEMORY_AND_DISK)
+    return small_side(again) if again.take(1) else None
+
+
 def term_counts(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl) of docs (id, text), and a row with the mark for every document; ``only`` (term, marked for broadcast if it is small) restricts the terms before anything is shuffled."""
-    split = docs.select("id", terms(clean_text(F.col("text"))).alias("w"))
-    tokens = split.select("id", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(MARK)))).alias("term"))
+    """(id, term, tf, dl) of docs (id, text), and a row with the mark for every document; ``only`` (term, marked for broadcast if it is small) restricts the terms.
+
+    Words are counted within each text, so that nothing is shuffled but ids; only the counts of ids that more than one row has are summed up.
+    """
+    small_batches(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, rows, lengths = words_of(batch.column(1))
+            coded = words.dictionary_encode()
+            at, codes, n = counted(rows, coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary))
+            every = np.arange(len(lengths))
+            term = pa.concat_arrays([coded.dictionary.take(pa.array(codes)).cast(pa.string()), pa.array([MARK] * len(every), pa.string())])
+            at, n = np.concatenate([at, every]), np.concatenate([n, np.ones(len(every), np.int64)])
+            yield pa.record_batch([batch.column(0).take(pa.array(at)), term, pa.array(n, pa.int64()), pa.array(lengths[at], pa.int32())], names=["id", "term", "tf", "dl"])
+
+    kept = docs.select("id", clean_text(F.col("text")).alias("text")).mapInArrow(count, f"id {docs.schema['id'].dataType.simpleString()}, term string, tf bigint, dl int")
     if only is not None:
-        tokens = tokens.join(only, "term", "left_semi")
-    return tokens.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        kept = kept.join(only, "term", "left_semi").select("id", "term", "tf", "dl")
+    again = repeated(docs.select("id"))
+    if again is None:
+        return kept
+    same = F.col("id").eqNullSafe(F.col("again"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").groupBy("id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl")))
 
 
 @dataclass
