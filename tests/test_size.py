@@ -19,3 +19,12 @@ def test_words_are_counted_within_their_text(spark):
     unique = search.term_counts(docs.filter("id in (1, 3)"))
     assert {(r["id"], r["term"], r["tf"], r["dl"]) for r in unique.collect()} == {(1, "red", 2, 3), (1, "fox", 1, 3), (1, " ", 1, 3), (3, " ", 1, 0)}
     assert "Exchange" not in plan(unique)
+
+
+def test_batches_of_scored_pairs_are_small(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    metrics.bleu(F.col("a"), F.col("b"))
+    assert int(spark.conf.get(name)) <= metrics.BATCH
+    spark.conf.set(name, before)
