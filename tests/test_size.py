@@ -28,3 +28,10 @@ def test_batches_of_scored_pairs_are_small(spark):
     metrics.bleu(F.col("a"), F.col("b"))
     assert int(spark.conf.get(name)) <= metrics.BATCH
     spark.conf.set(name, before)
+
+
+def test_cosines_in_blocks(monkeypatch):
+    a, b = "the red fox sat on a red mat", "a fox and the cat sat down"
+    want = metrics.bertscore_f1_score(a, b)
+    monkeypatch.setattr(metrics, "ROWS", 2)
+    assert abs(metrics.bertscore_f1_score(a, b) - want) < 1e-12
