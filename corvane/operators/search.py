@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import clean_text, terms
@@ -24,6 +24,8 @@ from corvane.operators.common import is_small, small_batches, small_side, top_pe
 K1, B, RRF_K, TOP_K, CANDIDATES, RERANKED = 1.2, 0.75, 60, 10, 20, 3
 #: Rows and queries in one block of the dense search, and the queries (rows and bytes of vectors) that are sent to all tasks instead.
 BLOCK, SENT_QUERIES, SENT_BYTES = 20_000, 20_000, 64_000_000
+#: Weights, and pairs of queries and documents, that the sparse search sums up at a time.
+SUMMED = 1_000_000
 #: Stands behind the terms of each document; no term is a space.
 MARK = " "
 
@@ -135,7 +137,7 @@ def dense_blocks(queries: DataFrame, rows: DataFrame, k: int = TOP_K, block: int
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(qid, term): each query's distinct terms. queries: (qid, query)."""
-    return queries.select("qid", F.explode(F.array_distinct(terms(clean_text(F.col("query"))))).alias("term"))
+    return queries.select("qid", F.explode(F.array_distinct(terms(clean_text(F.col("query"))))).alias("term")).distinct()
 
 
 def words_of(cleaned: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -187,7 +189,8 @@ def term_counts(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
 
 @dataclass
 class TermIndex:
-    """What sparse search reads: counts (id, term, tf, dl) of the terms asked for, their documents (term, df), and the collection's size and mean length."""
+    """What sparse search reads: counts (id, term, tf, dl) of the terms asked for, their documents (term, df), and the collection's size and mean length.
+    ``rows`` has the same counts as one row a document (id, dl, codes, tfs), codes being places in ``terms``, if the queries are few."""
 
     asked: DataFrame
     counts: DataFrame
@@ -195,6 +198,8 @@ class TermIndex:
     n_docs: int
     avgdl: float
     small: bool
+    terms: pa.Array | None = None
+    rows: DataFrame | None = None
 
     def near(self, df: DataFrame) -> DataFrame:
         """df, which has no more rows than there are queries' terms, marked for broadcast if those were found to be few."""
@@ -205,20 +210,78 @@ class TermIndex:
         return self.df.select("term", F.log(1 + (self.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def distinct_terms(asked: DataFrame) -> pa.Array:
+    """The terms of asked (qid, term), in order; for few."""
+    found = asked.select("term").distinct().toArrow().column("term").combine_chunks().cast(pa.string())
+    return found.take(pc.sort_indices(found))
+
+
+def numbered(spark: SparkSession, names: pa.Array, **more: np.ndarray) -> DataFrame:
+    """(code, term, ...): the terms and their places in ``names``."""
+    return spark.createDataFrame(pa.table({"code": pa.array(np.arange(len(names)), pa.int32()), "term": names, **{k: pa.array(v, pa.int64()) for k, v in more.items()}}))
+
+
+def text_rows(docs: DataFrame, names: pa.Array) -> DataFrame:
+    """(id, dl, codes, tfs): of each row of docs (id, text) its length and the counts of the named terms."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, rows, lengths = words_of(batch.column(1))
+            codes = pc.index_in(words, value_set=shared.value.cast(words.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+            named = codes >= 0
+            at, codes, n = counted(rows[named], codes[named], len(shared.value))
+            offsets = pa.array(np.searchsorted(at, np.arange(len(lengths) + 1)), pa.int32())
+            yield pa.record_batch([batch.column(0), pa.array(lengths, pa.int32()), *(pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (codes, n))], names=["id", "dl", "codes", "tfs"])
+
+    return docs.select("id", clean_text(F.col("text")).alias("text")).mapInArrow(count, f"id {docs.schema['id'].dataType.simpleString()}, dl int, codes array<int>, tfs array<int>")
+
+
+def rows_of_counts(counts: DataFrame, names: pa.Array) -> DataFrame:
+    """(id, dl, codes, tfs) of counts (id, term, tf, dl)."""
+    coded = counts.join(F.broadcast(numbered(counts.sparkSession, names)), "term")
+    lists = coded.groupBy("id").agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list(F.struct("code", F.col("tf").cast("int").alias("tf")))).alias("x"))
+    return lists.select("id", "dl", F.col("x.code").alias("codes"), F.col("x.tf").alias("tfs"))
+
+
+def counts_of_rows(rows: DataFrame, names: pa.Array) -> DataFrame:
+    """(id, term, tf, dl) of rows (id, dl, codes, tfs)."""
+    each = rows.select("id", "dl", F.explode(F.arrays_zip("codes", "tfs")).alias("x")).select("id", F.col("x.codes").alias("code"), F.col("x.tfs").cast("long").alias("tf"), "dl")
+    return each.join(F.broadcast(numbered(rows.sparkSession, names)), "code").select("id", "term", "tf", "dl")
+
+
 def text_index(queries: DataFrame, docs: DataFrame) -> TermIndex:
     """The term index of docs (id, text) for queries (qid, query): one pass over the texts, kept for all that reads it (spark.catalog.clearCache() lets it go)."""
     asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
     small = is_small(asked)
-    only = wanted.unionByName(docs.sparkSession.createDataFrame([(MARK,)], "term string"))
-    kept = term_counts(docs, F.broadcast(only) if small else only).persist(StorageLevel.MEMORY_AND_DISK)
-    n_docs, avgdl = kept.filter(F.col("term") == MARK).agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).first()
-    counts = kept.filter(F.col("term") != MARK)
-    return TermIndex(asked, counts, counts.groupBy("term").agg(F.count("*").alias("df")), n_docs or 0, avgdl or 0.0, small)
+    if not small:
+        only = asked.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(MARK,)], "term string"))
+        kept = term_counts(docs, only).persist(StorageLevel.MEMORY_AND_DISK)
+        n_docs, avgdl = kept.filter(F.col("term") == MARK).agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).first()
+        counts = kept.filter(F.col("term") != MARK)
+        return TermIndex(asked, counts, counts.groupBy("term").agg(F.count("*").alias("df")), n_docs or 0, avgdl or 0.0, small)
+    names = distinct_terms(asked)
+    rows = text_rows(docs, names).persist(StorageLevel.MEMORY_AND_DISK)
+    n_docs, avgdl = rows.agg(F.count("*"), F.sum("dl") / F.count("*")).first()
+    again = repeated(rows.select("id"))
+    if again is not None:
+        same = F.col("id").eqNullSafe(F.col("again"))
+        counts = counts_of_rows(rows.join(again, same, "left_semi"), names).groupBy("id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        rows = rows.join(again, same, "left_anti").unionByName(rows_of_counts(counts, names)).persist(StorageLevel.MEMORY_AND_DISK)
+    found = rows.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df")).toArrow()
+    df = np.zeros(len(names), np.int64)
+    df[found.column("code").to_numpy()] = found.column("df").to_numpy()
+    return TermIndex(asked, counts_of_rows(rows, names), numbered(docs.sparkSession, names, df=df).filter("df > 0").select("term", "df"), n_docs, avgdl or 0.0, small, names, rows)
 
 
 def sparse_search(index: TermIndex, k: int = TOP_K) -> DataFrame:
-    """(qid, id, score, rank): by BM25. Documents without any of a query's terms aren't found."""
+    """(qid, id, score, rank): by BM25. Documents without any of a query's terms aren't found.
+
+    Few queries go to all tasks, and each task keeps its k best documents a query; the scores of many are summed up in a shuffle.
+    """
+    if index.small:
+        return top_per(best_rows(index, k), "qid", F.col("score"), "id", k)
     weighted = index.counts.join(index.near(index.idf()), "term")
     tf = F.col("tf")
     weights = weighted.select("id", "term", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))).alias("weight"))
@@ -226,6 +289,56 @@ def sparse_search(index: TermIndex, k: int = TOP_K) -> DataFrame:
     return top_per(scored, "qid", F.col("score"), "id", k)
 
 
+def best_rows(index: TermIndex, k: int) -> DataFrame:
+    """(qid, id, score): the k best documents of each query among those of each task."""
+    asked = index.asked.toArrow().combine_chunks()
+    names = index.terms if index.terms is not None else distinct_terms(index.asked)
+    rows = index.rows if index.rows is not None else rows_of_counts(index.counts, names)
+    qids, of_term = pc.unique(asked.column("qid").combine_chunks()), pc.index_in(asked.column("term").combine_chunks().cast(names.type), value_set=names).to_numpy(zero_copy_only=False)
+    of_query = pc.index_in(asked.column("qid").combine_chunks(), value_set=qids).to_numpy(zero_copy_only=False)
+    by_term = np.argsort(of_term, kind="stable")
+    asking, width = of_query[by_term].astype(np.int64), np.bincount(of_term, minlength=len(names))
+    known = index.df.select("term", "df").toArrow()
+    df = np.full(len(names), np.nan)
+    df[pc.index_in(known.column("term").combine_chunks().cast(names.type), value_set=names).to_numpy(zero_copy_only=False)] = known.column("df").to_numpy()
+    idf = np.log(1 + (index.n_docs - df + 0.5) / (df + 0.5))
+    shared = rows.sparkSession.sparkContext.broadcast((qids, asking, width, np.cumsum(width) - width, idf, float(index.avgdl)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, asking, width, first, idf, avgdl = shared.value
+        best, least = None, np.zeros(len(qids))
+        for batch in batches:
+            lengths, n = batch.column(1).to_numpy(zero_copy_only=False).astype(float), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            codes, tf = batch.column(2).flatten().to_numpy(zero_copy_only=False), batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(float)
+            ends = np.cumsum(n)
+            own = np.repeat(np.arange(len(n)), n)
+            weights = idf[codes] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[own] / avgdl))
+            work = np.cumsum(np.concatenate([[0], width[codes]]))[np.concatenate([[0], ends])] // SUMMED + np.arange(len(n) + 1) * len(qids) // SUMMED
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(work[:-1])) + 1):
+                at = slice(ends[part[0]] - n[part[0]], ends[part[-1]])
+                times = width[codes[at]]
+                places = np.repeat(first[codes[at]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                scores = np.bincount(np.repeat((own[at] - part[0]) * len(qids), times) + asking[places], np.repeat(weights[at], times), len(part) * len(qids)).reshape(len(part), len(qids))
+                rounded = np.round(scores, 9)
+                row, query = np.nonzero((scores > 0) & (rounded >= least))
+                if not len(row):
+                    continue
+                new = pa.table({"query": query, "rounded": rounded[row, query], "id": batch.column(0).take(pa.array(part[row])), "score": scores[row, query]})
+                best = pa.concat_tables([best, new]) if best is not None else new
+                best = best.take(pc.sort_indices(best, sort_keys=[("query", "ascending"), ("rounded", "descending"), ("id", "ascending")], null_placement="at_start"))
+                query = best.column("query").to_numpy()
+                rank = np.arange(len(query)) - np.searchsorted(query, query)
+                best = best.filter(pa.array(rank < k)).combine_chunks()
+                query, rank = query[rank < k], rank[rank < k]
+                least[query[rank == k - 1]] = best.column("rounded").to_numpy()[rank == k - 1]
+        if best is not None:
+            found = best.combine_chunks()
+            yield pa.record_batch([qids.take(found.column("query").combine_chunks()), *(found.column(c).combine_chunks() for c in ("id", "score"))], names=["qid", "id", "score"])
+
+    schema = f"qid {index.asked.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    return rows.select("id", "dl", "codes", "tfs").mapInArrow(search, schema)
+
+
 def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
     """(qid, id, score, rank): by BM25 over cleaned terms. queries: (qid, query); docs: (id, text)."""
     return sparse_search(text_index(queries, docs), k)

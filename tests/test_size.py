@@ -35,3 +35,17 @@ def test_cosines_in_blocks(monkeypatch):
     want = metrics.bertscore_f1_score(a, b)
     monkeypatch.setattr(metrics, "ROWS", 2)
     assert abs(metrics.bertscore_f1_score(a, b) - want) < 1e-12
+
+
+def test_sparse_search_shuffles_only_the_best(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"fox {'red ' * (i % 5)}{'blue ' * (i % 7)}") for i in range(200)] + [(7, "red red fox")], "id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "red fox"), (1, "fox blue"), (2, "blue"), (3, "absent")], "qid long, query string")
+    monkeypatch.setattr(search, "SUMMED", 20)  # many small parts
+    index = search.text_index(asked, docs)
+    assert search.best_rows(index, 4).count() <= 2 * 4 * index.rows.rdd.getNumPartitions()
+    of = lambda df: sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect())
+    got = of(search.sparse_search(index, 4))
+    monkeypatch.setattr(search, "is_small", lambda df: False)  # beyond the bound scores are summed up in a shuffle
+    large = search.text_index(asked, docs)
+    assert got == of(search.sparse_search(large, 4)) and [x[:2] for x in got] == [(q, k) for q in (1, 2) for k in (1, 2, 3, 4)]
+    spark.catalog.clearCache()
