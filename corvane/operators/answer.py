@@ -31,8 +31,9 @@ def format_sources(ranked: DataFrame) -> DataFrame:
 def responses(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     """(qid, response): each query's answer and sources as JSON; null fields, a null score included, are left out. ranked: (qid, rank, page_content, doc_name, file_path, score)."""
     source = F.struct("page_content", F.struct("file_path", "doc_name", F.col("score").cast("double").alias("score")).alias("metadata"))
-    lists = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", source.alias("s")))).alias("x")).select("qid", F.transform("x", lambda s: s["s"]).alias("sources"))
-    joined = answer_top1(queries, ranked).join(lists, "qid", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", source.alias("s"))))
+    lists = ranked.groupBy("qid").agg(ordered.alias("x"), F.min_by("page_content", "rank").alias("top")).select("qid", "top", F.transform("x", lambda s: s["s"]).alias("sources"))
+    joined = queries.select("qid").join(lists, "qid", "left").withColumn("answer", F.coalesce("top", F.lit(DONT_KNOW)))
     empty = F.from_json(F.lit("[]"), lists.schema["sources"].dataType.simpleString())
     return joined.select("qid", F.to_json(F.struct("answer", F.coalesce("sources", empty).alias("source_documents"))).alias("response"))
 

@@ -49,3 +49,16 @@ def test_sparse_search_shuffles_only_the_best(spark, monkeypatch):
     large = search.text_index(asked, docs)
     assert got == of(search.sparse_search(large, 4)) and [x[:2] for x in got] == [(q, k) for q in (1, 2) for k in (1, 2, 3, 4)]
     spark.catalog.clearCache()
+
+
+def test_responses_read_results_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def watched(text):
+        read.add(1)
+        return text
+
+    ranked = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "qid long, rank int, page_content string").select("qid", "rank", watched("page_content").alias("page_content"), F.lit("n").alias("doc_name"), F.lit("p").alias("file_path"), F.lit(1.0).alias("score"))
+    got = json.loads(answer.responses(spark.createDataFrame([(1,)], "qid long"), ranked).first()["response"])
+    assert got["answer"] == "a" and [s["page_content"] for s in got["source_documents"]] == ["a", "b"] and read.value == 2
