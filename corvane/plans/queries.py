@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from corvane.functions import encoders
 from corvane.functions import text as T
 from corvane.operators import answer, changes, chunk, evaluate, metrics, profile, search
+from corvane.operators.common import kept_side
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,16 +95,19 @@ def dense_topk(spark, sf_dir):
     return search.dense_topk(asked, vectors).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
-def _search_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _sparse_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), docs
+
+
+def _search_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    questions, docs = _sparse_inputs(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return questions.join(vectors.withColumnRenamed("id", "qid"), "qid", "left"), docs, vectors.join(docs.select("id"), "id", "left_semi")
 
 
 def sparse_topk(spark, sf_dir):
-    questions, docs, _ = _search_inputs(spark, sf_dir)
-    return search.sparse_topk(questions.select("qid", "query"), docs).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+    return search.sparse_topk(*_sparse_inputs(spark, sf_dir)).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def hybrid_rrf(spark, sf_dir):
@@ -114,16 +118,15 @@ def hybrid_rerank(spark, sf_dir):
     return search.hybrid_rerank(*_search_inputs(spark, sf_dir)).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
-def _retrieved(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Questions, and the ten sparse results of each with their texts: texts join only what was found."""
-    questions, docs, _ = _search_inputs(spark, sf_dir)
-    found = search.sparse_topk(questions.select("qid", "query"), docs)
-    return questions, found.join(docs, "id").select("qid", "rank", "id", "score", F.col("text").alias("page_content"))
+def _retrieved(spark, sf_dir, k: int = search.TOP_K) -> tuple[DataFrame, DataFrame]:
+    """Questions, and the k sparse results of each with their texts: what was found goes to the texts, which aren't shuffled."""
+    questions, docs = _sparse_inputs(spark, sf_dir)
+    found = docs.join(kept_side(search.sparse_topk(questions, docs, k)), "id")
+    return questions, found.select("qid", "rank", "id", "score", F.col("text").alias("page_content"))
 
 
 def answer_top1(spark, sf_dir):
-    questions, found = _retrieved(spark, sf_dir)
-    return answer.answer_top1(questions, found)
+    return answer.answer_top1(*_retrieved(spark, sf_dir))
 
 
 def format_docs(spark, sf_dir):

@@ -22,7 +22,7 @@ from corvane.functions.encoders import DenseEncoder, SparseEncoder, dense_vector
 from corvane.operators import search
 from corvane.operators.changes import change_detection, deleted_files, next_manifest, replace_by_file
 from corvane.operators.chunk import OVERLAP, SIZE, chunk_documents, chunk_id
-from corvane.operators.common import is_small, top_per
+from corvane.operators.common import is_small, kept_side, top_per
 from corvane.sources.files import FILES, PageParser, list_files, read_pages, text_pages, whole_documents
 
 CHUNKS = "chunk_id string, file_path string, chunk_ix int, page_content string, doc_name string, source string, date string, num_pages int, dense array<float>"
@@ -187,4 +187,4 @@ def hybrid_rerank(queries: DataFrame, index: DocumentIndex, candidates: int = se
 def with_sources(ranked: DataFrame, index: DocumentIndex) -> DataFrame:
     """ranked (qid, id, score, rank) with the chunks' page_content, file_path, doc_name, source, date and num_pages: only what was found is joined."""
     chunks = index.chunks().select(F.col("chunk_id").alias("id"), "page_content", "file_path", "doc_name", "source", "date", "num_pages")
-    return ranked.join(chunks, "id")
+    return chunks.join(kept_side(ranked), "id").select(*ranked.columns, *chunks.columns[1:])

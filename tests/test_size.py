@@ -62,3 +62,13 @@ def test_responses_read_results_once(spark):
     ranked = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "qid long, rank int, page_content string").select("qid", "rank", watched("page_content").alias("page_content"), F.lit("n").alias("doc_name"), F.lit("p").alias("file_path"), F.lit(1.0).alias("score"))
     got = json.loads(answer.responses(spark.createDataFrame([(1,)], "qid long"), ranked).first()["response"])
     assert got["answer"] == "a" and [s["page_content"] for s in got["source_documents"]] == ["a", "b"] and read.value == 2
+
+
+def test_texts_arent_shuffled_for_what_was_found(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, found = queries._retrieved(spark, "/root/testdata/sf0.001")
+        assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.catalog.clearCache()
