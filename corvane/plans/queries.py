@@ -126,7 +126,7 @@ def _retrieved(spark, sf_dir, k: int = search.TOP_K) -> tuple[DataFrame, DataFra
 
 
 def answer_top1(spark, sf_dir):
-    return answer.answer_top1(*_retrieved(spark, sf_dir))
+    return answer.answer_top1(*_retrieved(spark, sf_dir, 1))
 
 
 def format_docs(spark, sf_dir):
