@@ -364,8 +364,9 @@ def fused(index: TermIndex, queries: DataFrame, vectors: DataFrame, k: int = TOP
 
 def coverage_scores(index: TermIndex, candidates: DataFrame) -> DataFrame:
     """(qid, id, score): the share of the query's idf that the document's terms cover; the default pair scorer. Only the candidates' terms are looked up."""
-    wanted = candidates.select("qid", "id").join(index.near(index.asked), "qid").join(index.near(index.idf()), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
-    held = index.counts.select("id", "term", F.lit(1).alias("has"))
+    candidates = candidates.select("qid", "id").persist(StorageLevel.MEMORY_AND_DISK)
+    wanted = candidates.join(index.near(index.asked), "qid").join(index.near(index.idf()), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    held = index.counts.join(small_side(candidates.select("id").distinct()), "id", "left_semi").select("id", "term", F.lit(1).alias("has"))
     total = F.sum("idf")
     return wanted.join(held, ["id", "term"], "left").groupBy("qid", "id").agg(F.when(total > 0, F.sum(F.when(F.col("has") == 1, F.col("idf")).otherwise(0.0)) / total).otherwise(0.0).alias("score"))
 
