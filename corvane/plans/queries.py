@@ -130,7 +130,7 @@ def answer_top1(spark, sf_dir):
 
 
 def format_docs(spark, sf_dir):
-    _, found = _retrieved(spark, sf_dir)
+    found = search.sparse_topk(*_sparse_inputs(spark, sf_dir))
     ranked = found.select("qid", "rank", F.lit("").alias("doc_name"), F.concat(F.lit("doc/"), F.col("id").cast("string")).alias("file_path"), F.lit(None).cast("double").alias("score"), F.round("score", 6).cast("string").alias("metadata_score"))
     return answer.format_sources(ranked)
 
